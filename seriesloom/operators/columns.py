@@ -95,7 +95,9 @@ def filter_eq(df: DataFrame, column: str, value) -> DataFrame:
 
 
 def flag_correct(df: DataFrame, truth: str, prediction: str, output: str = "correct") -> DataFrame:
-    return df.withColumn(output, F.col(prediction) == F.col(truth))
+    """Whether prediction and truth agree; false if one is missing."""
+    agrees = F.col(prediction) == F.col(truth)
+    return df.withColumn(output, F.coalesce(agrees, F.lit(False)))
 
 
 def map_values(df: DataFrame, column: str, mapping: Mapping, output: str) -> DataFrame:
