@@ -1,6 +1,6 @@
 """The registered queries with their SQL, over the given tables."""
 
 from .registry import QUERIES, SQL
-from . import series  # noqa: F401  (each registers its queries)
+from . import basic, models, reports, series  # noqa: F401  (each registers its queries)
 
 __all__ = ["QUERIES", "SQL"]

@@ -27,11 +27,10 @@ def last(k: int) -> str:
 
 @query(
     "interpolate_linear",
-    f"{P}, {FILLED} SELECT {KEYS}, {sql.rounded(MEASURES, 4)} FROM filled",
+    f"{P}, {FILLED} SELECT {KEYS}, {', '.join(MEASURES)} FROM filled",
 )
 def interpolate_linear(spark, sf_dir):
-    filled = windows.interpolate_linear(panel(spark, sf_dir), MONTHS, MEASURES)
-    return round_columns(filled, MEASURES, 4)
+    return windows.interpolate_linear(panel(spark, sf_dir), MONTHS, MEASURES)
 
 
 @query(
