@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.columns import make_month_date
 from ..operators.series import Series
@@ -16,8 +17,28 @@ MONTHS = Series.of("entity", ("year", "month"))
 EVENTS = Series.of("event_type", ("ts", "event_id"))
 
 
+# Columns of the given tables. With them no file is opened before the query runs.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+    schema = StructType.fromDDL(SCHEMAS[name])
+    return read_table(spark, f"{sf_dir}/{name}.parquet", schema)
 
 
 def orders_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,34 +68,31 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.col("l_orderkey") == F.col("o_orderkey"),
     )
-    record = lines.select(
+    records = lines.select(
         "entity",
-        F.explode(
-            F.array(
-                F.struct(F.lit(True).alias("ordered"), F.to_date("o_orderdate").alias("day")),
-                F.struct(F.lit(False).alias("ordered"), F.to_date("l_shipdate").alias("day")),
-            )
-        ).alias("at"),
+        F.expr(
+            "explode(array(named_struct('ordered', true, 'day', o_orderdate),"
+            " named_struct('ordered', false, 'day', l_shipdate))) AS at"
+        ),
         "l_quantity",
-        F.least(F.lit(4), F.ceil(F.col("l_quantity") / 12.5)).alias("band"),
-        F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
-        F.round(F.col("l_discount") * 100).cast("long").alias("discount"),
-        F.round(F.col("o_totalprice") * 100).cast("long").alias("total"),
+        F.expr("least(4, ceil(l_quantity / 12.5D)) AS band"),
+        F.expr("CAST(round(l_extendedprice * 100) AS BIGINT) AS cents"),
+        F.expr("CAST(round(l_discount * 100) AS BIGINT) AS discount"),
+        F.expr("CAST(round(o_totalprice * 100) AS BIGINT) AS total"),
     )
-    ordered = F.col("at.ordered")
 
-    def mean(value: str, condition) -> F.Column:
-        chosen = F.when(condition, F.col(value))
-        return F.sum(chosen) / F.lit(100.0) / F.count(chosen)
+    def mean(value: str, condition: str, output: str) -> Column:
+        chosen = f"CASE WHEN {condition} THEN {value} END"
+        return F.expr(f"sum({chosen}) / 100.0D / count({chosen}) AS {output}")
 
-    return record.groupBy(
+    return records.groupBy(
         "entity", F.year("at.day").alias("year"), F.month("at.day").alias("month")
     ).agg(
-        F.sum(F.when(ordered, F.col("l_quantity"))).alias("wet"),
-        F.sum(F.when(~ordered, F.col("l_quantity"))).alias("dry"),
-        *[mean("cents", ordered & (F.col("band") == i)).alias(f"m{i}") for i in (1, 2, 3, 4)],
-        mean("discount", ordered).alias("g"),
-        mean("total", ordered).alias("t"),
+        F.expr("sum(CASE WHEN at.ordered THEN l_quantity END) AS wet"),
+        F.expr("sum(CASE WHEN NOT at.ordered THEN l_quantity END) AS dry"),
+        *[mean("cents", f"at.ordered AND band = {i}", f"m{i}") for i in (1, 2, 3, 4)],
+        mean("discount", "at.ordered", "g"),
+        mean("total", "at.ordered", "t"),
     )
 
 
@@ -118,7 +136,7 @@ def sources(spark: SparkSession, sf_dir: str) -> list[dict[str, DataFrame]]:
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order status as truth, and three rules that guess it."""
 
-    def rule(low, middle) -> F.Column:
+    def rule(low, middle) -> Column:
         return F.when(low, "F").when(middle, "O").otherwise("P")
 
     price, day = F.col("o_totalprice"), F.dayofmonth("o_orderdate")

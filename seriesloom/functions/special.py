@@ -1,7 +1,8 @@
 """Gamma and normal distribution functions as native column expressions.
 
 Spark has none of them built in. All are closed forms or fixed-length folds, so
-no Python worker takes part.
+no Python worker takes part. Arguments are SQL text (a column name, say): the
+formulas are long, and as text they reach Spark in one call.
 """
 
 from __future__ import annotations
@@ -79,126 +80,121 @@ TAIL_DEN = [
 ]
 
 
-def _polynomial(x: Column, coefficients: list[float]) -> Column:
+# Coefficients of Stirling's series and of those of ψ and ψ'.
+STIRLING = [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360]
+DIGAMMA = [1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132]
+TRIGAMMA = [1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66]
+
+
+def _number(value: float) -> str:
+    return f"{float(value)!r}D"
+
+
+def _polynomial(x: str, coefficients: list[float]) -> str:
     highest, *rest = reversed(coefficients)
-    return reduce(lambda acc, c: acc * x + F.lit(c), rest, F.lit(highest))
+    return reduce(lambda acc, c: f"({acc} * {x} + {_number(c)})", rest, _number(highest))
+
 
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``value`` evaluated once, under ``name``."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body`` as a variable."""
-    return F.transform(F.array(value), body)[0]
 
+def _sum(terms) -> str:
+    return "(" + " + ".join(terms) + ")"
 
-def log_gamma(z: Column) -> Column:
+
+def log_gamma_sql(z: str) -> str:
+    rising = " * ".join(f"(lg_z + {_number(k)})" for k in range(SHIFT))
+    body = _let(
+        "lg_y",
+        f"lg_z + {_number(SHIFT)}",
+        f"(lg_y - 0.5D) * ln(lg_y) - lg_y + {_number(0.5 * math.log(2 * math.pi))}"
+        f" + {_polynomial('(1.0D / (lg_y * lg_y))', STIRLING)} / lg_y - ln({rising})",
+    )
+    return _let("lg_z", z, body)
+
+
+def log_gamma(z: str) -> Column:
     """ln Γ(z), z > 0: Stirling's series eight steps to the right, shifted back."""
+    return F.expr(log_gamma_sql(z))
 
-    def body(z: Column) -> Column:
-        y = z + F.lit(float(SHIFT))
-        rising = reduce(lambda acc, k: acc * (z + F.lit(float(k))), range(1, SHIFT), z)
-        inv = F.lit(1.0) / y
-        # Stirling coefficients.
-        series = inv * _polynomial(
-            inv * inv, [1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360]
-        )
-        stirling = (y - 0.5) * F.ln(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + series
-        return stirling - F.ln(rising)
 
-    return _bind(z, body)
+def digamma_sql(z: str) -> str:
+    shifted = _sum(f"1.0D / ({z} + {_number(k)})" for k in range(SHIFT))
+    body = _let(
+        "dg_i",
+        "1.0D / (dg_y * dg_y)",
+        f"ln(dg_y) - 0.5D / dg_y - dg_i * {_polynomial('dg_i', DIGAMMA)} - {shifted}",
+    )
+    return _let("dg_y", f"{z} + {_number(SHIFT)}", body)
 
 
-def digamma(z: Column) -> Column:
+def digamma(z: str) -> Column:
     """ψ(z), z > 0."""
-    y = z + F.lit(float(SHIFT))
-    shifted = reduce(
-        lambda acc, k: acc + F.lit(1.0) / (z + F.lit(float(k))), range(1, SHIFT), F.lit(1.0) / z
-    )
-    inv2 = F.lit(1.0) / (y * y)
-    # Asymptotic series of ψ.
-    series = inv2 * _polynomial(inv2, [1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132])
-    return F.ln(y) - F.lit(0.5) / y - series - shifted
+    return F.expr(digamma_sql(z))
 
 
-def trigamma(z: Column) -> Column:
-    """ψ'(z), z > 0."""
-    y = z + F.lit(float(SHIFT))
+def trigamma_sql(z: str) -> str:
+    shifted = _sum(
+        f"1.0D / (({z} + {_number(k)}) * ({z} + {_number(k)}))" for k in range(SHIFT)
+    )
+    series = f"tg_i * tg_i * tg_i * {_polynomial('(tg_i * tg_i)', TRIGAMMA)}"
+    body = f"tg_i + 0.5D * tg_i * tg_i + {series} + {shifted}"
+    return _let("tg_i", f"1.0D / ({z} + {_number(SHIFT)})", body)
 
-    def inverse_square(k: int) -> Column:
-        step = z + F.lit(float(k))
-        return F.lit(1.0) / (step * step)
 
-    shifted = reduce(lambda acc, k: acc + inverse_square(k), range(1, SHIFT), inverse_square(0))
-    inv = F.lit(1.0) / y
-    # Asymptotic series of ψ'.
-    series = _polynomial(inv * inv, [1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66])
-    return inv + F.lit(0.5) * inv * inv + inv * inv * inv * series + shifted
+def trigamma(z: str) -> Column:
+    """ψ'(z), z > 0."""
+    return F.expr(trigamma_sql(z))
 
 
-def gamma_shape(spread: Column) -> Column:
+def gamma_shape(spread: str) -> Column:
     """Maximum-likelihood shape from ``spread = ln(mean x) - mean(ln x)``.
 
     Newton from the closed-form start of Minka (2002). No spread means no
     finite shape: null.
     """
-    s = spread
-    start = (F.lit(3.0) - s + F.sqrt((s - 3.0) * (s - 3.0) + 24.0 * s)) / (12.0 * s)
-
-    def newton(a: Column, _: Column) -> Column:
-        gap = F.ln(a) - digamma(a) - s
-        return a - gap / (F.lit(1.0) / a - trigamma(a))
+    start = "(3.0D - s + sqrt((s - 3.0D) * (s - 3.0D) + 24.0D * s)) / (12.0D * s)"
+    step = f"a - (ln(a) - {digamma_sql('a')} - s) / (1.0D / a - {trigamma_sql('a')})"
+    newton = f"aggregate(sequence(1, {NEWTON_STEPS}), {start}, (a, i) -> {step})"
+    body = f"CASE WHEN s > {_number(MIN_SPREAD)} THEN {newton} END"
+    return F.expr(_let("s", spread, body))
 
-    steps = F.sequence(F.lit(1), F.lit(NEWTON_STEPS))
-    return F.when(s > F.lit(MIN_SPREAD), F.aggregate(steps, start, newton))
 
-
-def gamma_cdf(x: Column, shape: Column, scale: Column) -> Column:
+def gamma_cdf(x: str, shape: str, scale: str) -> Column:
     """P(X <= x) for a gamma variable.
 
-    Sums the series x^(a+k) e^-x / Γ(a+k+1); its length grows with x so that it
-    stays exact for large shapes, and far above the mean the answer is 1.
+    Sums the series x^(a+k) e^-x / Γ(a+k+1) as the first term times a nested
+    product, from the inside out, so that the fold carries one number. Its length
+    grows with x to stay exact for large shapes; far above the mean the answer is 1.
     """
-    y, a = F.try_divide(x, scale), shape
-
-    def body(v: Column) -> Column:
-        y, a = v["y"], v["a"]
-        first = F.exp(a * F.ln(y) - y - log_gamma(a + 1.0))
-        length = F.ceil(F.greatest(y - a, F.lit(0.0)) + 10.0 * F.sqrt(y) + 50.0).cast("int")
-        total = F.aggregate(
-            F.sequence(F.lit(1), length),
-            F.struct(first.alias("term"), first.alias("total")),
-            lambda acc, k: _bind(
-                acc["term"] * y / (a + k),
-                lambda term: F.struct(term.alias("term"), (acc["total"] + term).alias("total")),
-            ),
-            lambda acc: acc["total"],
-        )
-        return (
-            F.when(y.isNull() | a.isNull(), F.lit(None).cast("double"))
-            .when(y <= 0, F.lit(0.0))
-            .when(y > a + 20.0 * F.sqrt(a) + 200.0, F.lit(1.0))
-            .otherwise(F.least(total, F.lit(1.0)))
-        )
-
-    return _bind(F.struct(y.alias("y"), a.alias("a")), body)
-
-
-def norm_ppf(p: Column) -> Column:
+    first = f"exp(v.a * ln(v.y) - v.y - {log_gamma_sql('v.a + 1.0D')})"
+    length = "CAST(ceil(greatest(v.y - v.a, 0.0D) + 10.0D * sqrt(v.y) + 50.0D) AS INT)"
+    nested = f"aggregate(sequence({length}, 1, -1), 1.0D, (acc, k) -> 1.0D + acc * v.y / (v.a + k))"
+    body = f"""CASE WHEN v.y IS NULL OR v.a IS NULL THEN NULL
+        WHEN v.y <= 0 THEN 0.0D
+        WHEN v.y > v.a + 20.0D * sqrt(v.a) + 200.0D THEN 1.0D
+        ELSE least({first} * {nested}, 1.0D) END"""
+    return F.expr(_let("v", f"named_struct('y', try_divide({x}, {scale}), 'a', {shape})", body))
+
+
+def norm_ppf(p: str) -> Column:
     """Quantile of the standard normal; 0 and 1 give -inf and +inf, null stays null."""
 
-    def body(p: Column) -> Column:
-        q = p - 0.5
-        centre = F.lit(0.180625) - q * q
-        central = q * _polynomial(centre, CENTRAL_NUM) / _polynomial(centre, CENTRAL_DEN)
-        r = F.sqrt(-F.ln(F.least(p, F.lit(1.0) - p)))
-        middle = _polynomial(r - 1.6, MIDDLE_NUM) / _polynomial(r - 1.6, MIDDLE_DEN)
-        tail = _polynomial(r - 5.0, TAIL_NUM) / _polynomial(r - 5.0, TAIL_DEN)
-        outer = F.when(r <= 5.0, middle).otherwise(tail)
-        return (
-            F.when((p < 0) | (p > 1) | F.isnan(p), F.lit(None).cast("double"))
-            .when(p == 0, F.lit(float("-inf")))
-            .when(p == 1, F.lit(float("inf")))
-            .when(F.abs(q) <= 0.425, central)
-            .when(q < 0, -outer)
-            .otherwise(outer)
-        )
-
-    return _bind(p, body)
+    def rational(x: str, value: str, numerator: list[float], denominator: list[float]) -> str:
+        return _let(x, value, f"{_polynomial(x, numerator)} / {_polynomial(x, denominator)}")
+
+    central = rational("c", "0.180625D - (p - 0.5D) * (p - 0.5D)", CENTRAL_NUM, CENTRAL_DEN)
+    middle = rational("m", "r - 1.6D", MIDDLE_NUM, MIDDLE_DEN)
+    tail = rational("e", "r - 5.0D", TAIL_NUM, TAIL_DEN)
+    outer = _let(
+        "r",
+        "sqrt(-ln(least(p, 1.0D - p)))",
+        f"CASE WHEN r <= 5.0D THEN {middle} ELSE {tail} END",
+    )
+    body = f"""CASE WHEN p < 0 OR p > 1 OR isnan(p) THEN NULL
+        WHEN p = 0 THEN double('-infinity') WHEN p = 1 THEN double('infinity')
+        WHEN abs(p - 0.5D) <= 0.425D THEN (p - 0.5D) * {central}
+        ELSE sign(p - 0.5D) * {outer} END"""
+    return F.expr(_let("p", p, body))

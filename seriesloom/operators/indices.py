@@ -30,7 +30,7 @@ def gamma_fit(
         F.avg(positive).alias("mean"),
         F.avg(F.ln(positive)).alias("_mean_ln"),
     )
-    shape = F.when(F.col("n") >= min_rows, gamma_shape(F.ln("mean") - F.col("_mean_ln")))
+    shape = F.when(F.col("n") >= min_rows, gamma_shape("ln(mean) - _mean_ln"))
     return (
         stats.withColumn("shape", shape)
         .withColumn("scale", F.col("mean") / F.col("shape"))
@@ -54,17 +54,14 @@ def standardised_indices(
     rolled = rolled.withColumns({f"_sum_{n}": F.col(f"_sum_{n}") + OFFSET for n in indices})
     fit = _fit_in_windows if series.chunk is None else _fit_by_join
     fitted = fit(rolled, series, {name: k for name, (_, k) in indices.items()})
-    scores = {
-        name: norm_ppf(
-            gamma_cdf(
-                F.col(f"_sum_{name}"),
-                F.col(f"_shape_{name}"),
-                F.col(f"_mean_{name}") / F.col(f"_shape_{name}"),
-            )
+    probabilities = {
+        f"_p_{name}": gamma_cdf(
+            f"`_sum_{name}`", f"`_shape_{name}`", f"`_mean_{name}` / `_shape_{name}`"
         )
         for name in indices
     }
-    return fitted.withColumns(scores).select(*df.columns, *indices)
+    scores = [norm_ppf(f"`_p_{name}`").alias(name) for name in indices]
+    return fitted.withColumns(probabilities).select(*df.columns, *scores)
 
 
 def _fit_in_windows(rolled: DataFrame, series: Series, scales: dict[str, int]) -> DataFrame:
@@ -80,7 +77,7 @@ def _fit_in_windows(rolled: DataFrame, series: Series, scales: dict[str, int]) -
     first = {
         f"_first_{name}": F.when(
             (F.col("_row") == 1) & (F.col(f"_n_{name}") >= k),
-            gamma_shape(F.ln(f"_mean_{name}") - F.col(f"_ln_{name}")),
+            gamma_shape(f"ln(`_mean_{name}`) - `_ln_{name}`"),
         )
         for name, k in scales.items()
     }
@@ -101,7 +98,7 @@ def _fit_by_join(rolled: DataFrame, series: Series, scales: dict[str, int]) -> D
     fits = rolled.groupBy(*entity).agg(*stats)
     shapes = {
         f"_shape_{name}": F.when(
-            F.col(f"_n_{name}") >= k, gamma_shape(F.ln(f"_mean_{name}") - F.col(f"_ln_{name}"))
+            F.col(f"_n_{name}") >= k, gamma_shape(f"ln(`_mean_{name}`) - `_ln_{name}`")
         )
         for name, k in scales.items()
     }

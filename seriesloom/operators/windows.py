@@ -106,45 +106,49 @@ def interpolate_linear(
     w = series.window()
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     from_here = w.rowsBetween(0, Window.unboundedFollowing)
-
-    def known(c: str) -> Column:
-        point = F.struct(F.col("_pos").alias("pos"), F.col(c).cast("double").alias("v"))
-        return F.when(F.col(c).isNotNull(), point)
-
     out = df.withColumn("_pos", F.row_number().over(w).cast("long"))
-    start = F.lit(0)
     if series.chunk:
-        out = _with_carried_points(out, series, columns, known)
-        start = F.coalesce(F.col("_start"), F.lit(0))
-    helpers: dict[str, Column] = {}
-    for c in columns:
-        helpers[f"_prev_{c}"] = F.last(known(c), ignorenulls=True).over(so_far)
-        helpers[f"_next_{c}"] = F.first(known(c), ignorenulls=True).over(from_here)
-    out = out.withColumns(helpers)
-    filled: dict[str, Column] = {}
+        out = _with_carried_points(out, series, columns)
+    near: dict[str, Column] = {}
     for c in columns:
-        prev, nxt = _shifted(F.col(f"_prev_{c}"), start), _shifted(F.col(f"_next_{c}"), start)
-        if series.chunk:
-            prev = F.coalesce(prev, F.col(f"_before_{c}"))
-            nxt = F.coalesce(nxt, F.col(f"_after_{c}"))
-        here = F.col("_pos") + start
-        slope = (nxt["v"] - prev["v"]) / F.nullif(nxt["pos"] - prev["pos"], F.lit(0))
-        between = prev["v"] + slope * (here - prev["pos"])
-        filled[c] = F.coalesce(F.col(c).cast("double"), between, prev["v"], nxt["v"])
+        near[f"_prev_{c}"] = F.last(_known(c), ignorenulls=True).over(so_far)
+        near[f"_next_{c}"] = F.first(_known(c), ignorenulls=True).over(from_here)
+    out = out.withColumns(near)
+    if series.chunk:
+        placed = {"_pos": F.expr("_pos + coalesce(_start, 0)")}
+        for c in columns:
+            for side, beyond in ((f"_prev_{c}", f"_before_{c}"), (f"_next_{c}", f"_after_{c}")):
+                moved = _moved(side, "coalesce(_start, 0)")
+                placed[side] = F.expr(f"coalesce({moved}, `{beyond}`)")
+        out = out.withColumns(placed)
+    filled = {
+        c: F.expr(
+            f"coalesce(CAST(`{c}` AS DOUBLE), `_prev_{c}`.v + (`_next_{c}`.v - `_prev_{c}`.v)"
+            f" / nullif(`_next_{c}`.pos - `_prev_{c}`.pos, 0) * (_pos - `_prev_{c}`.pos),"
+            f" `_prev_{c}`.v, `_next_{c}`.v)"
+        )
+        for c in columns
+    }
     return out.withColumns(filled).select(*df.columns)
 
 
-def _shifted(point: Column, start: Column) -> Column:
-    moved = F.struct((point["pos"] + start).alias("pos"), point["v"].alias("v"))
-    return F.when(point.isNotNull(), moved)
+def _known(c: str) -> Column:
+    """Position and value of a known value, or null."""
+    point = f"named_struct('pos', _pos, 'v', CAST(`{c}` AS DOUBLE))"
+    return F.expr(f"CASE WHEN `{c}` IS NOT NULL THEN {point} END")
+
+
+def _moved(point: str, start: str) -> str:
+    moved = f"named_struct('pos', `{point}`.pos + {start}, 'v', `{point}`.v)"
+    return f"CASE WHEN `{point}` IS NOT NULL THEN {moved} END"
 
 
-def _with_carried_points(out: DataFrame, series: Series, columns, known) -> DataFrame:
+def _with_carried_points(out: DataFrame, series: Series, columns: Sequence[str]) -> DataFrame:
     """Last known point of earlier chunks and first of later ones, by entity position."""
     summary = {ROWS: F.count(F.lit(1))}
     for c in columns:
-        summary[f"_first_{c}"] = F.min(known(c))
-        summary[f"_last_{c}"] = F.max(known(c))
+        summary[f"_first_{c}"] = F.min(_known(c))
+        summary[f"_last_{c}"] = F.max(_known(c))
 
     def start(order: WindowSpec) -> dict[str, Column]:
         earlier = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -152,7 +156,7 @@ def _with_carried_points(out: DataFrame, series: Series, columns, known) -> Data
 
     def move(_: WindowSpec) -> dict[str, Column]:
         ends = [f"_{end}_{c}" for c in columns for end in ("first", "last")]
-        return {e: _shifted(F.col(e), F.col("_start")) for e in ends}
+        return {e: F.expr(_moved(e, "_start")) for e in ends}
 
     def reach(order: WindowSpec) -> dict[str, Column]:
         earlier = order.rowsBetween(Window.unboundedPreceding, -1)
