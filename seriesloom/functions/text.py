@@ -6,6 +6,8 @@ from pyspark.sql import Column, functions as F
 
 # Whitespace as Python's str.strip sees it.
 WHITESPACE = r"[\s\x1c-\x1f]"
+CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
+MARK = "\ue000 "
 
 
 def strip_whitespace(text: Column) -> Column:
@@ -16,16 +18,10 @@ def strip_whitespace(text: Column) -> Column:
 def title_case(text: Column) -> Column:
     """Capital after any character without case, small letters elsewhere.
 
-    ``initcap`` looks only at blanks: it gives ``O'neil-x`` and ``3rd`` where
-    this gives ``O'Neil-X`` and ``3Rd``.
+    ``initcap`` starts a word only after a blank: it gives ``O'neil-x`` and ``3rd``
+    where this gives ``O'Neil-X`` and ``3Rd``. So every character without case
+    gets a mark that ends in a blank, and the marks go again afterwards. A mark
+    in the text itself survives, as it is marked too.
     """
-    chars = F.split(text, "")
-
-    def cased(c: Column) -> Column:
-        return F.upper(c) != F.lower(c)
-
-    def at(c: Column, i: Column) -> Column:
-        inside_word = (i > 0) & cased(F.get(chars, i - 1))
-        return F.when(inside_word, F.lower(c)).otherwise(F.upper(c))
-
-    return F.array_join(F.transform(chars, at), "")
+    marked = F.regexp_replace(text, rf"([^{CASED}])", f"$1{MARK}")
+    return F.replace(F.initcap(marked), F.lit(MARK), F.lit(""))

@@ -103,16 +103,19 @@ def interpolate_linear(
     """
     if columns is None:
         columns = numeric_columns(df, series.keys + series.order)
+    # the next known value is the last one seen from the other end: a frame that
+    # ends at the last row would be computed anew for every row
     w = series.window()
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    from_here = w.rowsBetween(0, Window.unboundedFollowing)
+    backwards = series.group().orderBy(*[F.col(c).desc() for c in series.order])
+    from_end = backwards.rowsBetween(Window.unboundedPreceding, 0)
     out = df.withColumn("_pos", F.row_number().over(w).cast("long"))
     if series.chunk:
         out = _with_carried_points(out, series, columns)
     near: dict[str, Column] = {}
     for c in columns:
         near[f"_prev_{c}"] = F.last(_known(c), ignorenulls=True).over(so_far)
-        near[f"_next_{c}"] = F.first(_known(c), ignorenulls=True).over(from_here)
+        near[f"_next_{c}"] = F.last(_known(c), ignorenulls=True).over(from_end)
     out = out.withColumns(near)
     if series.chunk:
         placed = {"_pos": F.expr("_pos + coalesce(_start, 0)")}
@@ -160,11 +163,12 @@ def _with_carried_points(out: DataFrame, series: Series, columns: Sequence[str])
 
     def reach(order: WindowSpec) -> dict[str, Column]:
         earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-        later = order.rowsBetween(1, Window.unboundedFollowing)
+        backwards = Window.partitionBy(*series.entity).orderBy(F.col(series.chunk).desc())
+        later = backwards.rowsBetween(Window.unboundedPreceding, -1)
         found = {}
         for c in columns:
             found[f"_before_{c}"] = F.last(f"_last_{c}", ignorenulls=True).over(earlier)
-            found[f"_after_{c}"] = F.first(f"_first_{c}", ignorenulls=True).over(later)
+            found[f"_after_{c}"] = F.last(f"_first_{c}", ignorenulls=True).over(later)
         return found
 
     keep = ["_start"] + [f"_{side}_{c}" for c in columns for side in ("before", "after")]

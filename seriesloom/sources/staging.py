@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+_local_roots: dict[str, str] = {}
+
 
 def staging_root(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
@@ -25,9 +27,10 @@ def staging_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    root = tempfile.mkdtemp(prefix="seriesloom-")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="seriesloom-")
+    return _local_roots[app]
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
