@@ -170,7 +170,7 @@ def gamma_cdf(x: str, shape: str, scale: str) -> Column:
     grows with x to stay exact for large shapes; far above the mean the answer is 1.
     """
     first = f"exp(v.a * ln(v.y) - v.y - {log_gamma_sql('v.a + 1.0D')})"
-    length = "CAST(ceil(greatest(v.y - v.a, 0.0D) + 10.0D * sqrt(v.y) + 50.0D) AS INT)"
+    length = "CAST(ceil(greatest(v.y - v.a, 0.0D) + 8.0D * sqrt(v.y) + 30.0D) AS INT)"
     nested = f"aggregate(sequence({length}, 1, -1), 1.0D, (acc, k) -> 1.0D + acc * v.y / (v.a + k))"
     body = f"""CASE WHEN v.y IS NULL OR v.a IS NULL THEN NULL
         WHEN v.y <= 0 THEN 0.0D

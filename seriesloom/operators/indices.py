@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.special import gamma_cdf, gamma_shape, norm_ppf
-from .series import Series, names
+from .series import Series, match, names
 from .windows import rolling_sum
 
 # Offset of the rolled sums, class limits and labels.
@@ -104,7 +104,7 @@ def _fit_by_join(rolled: DataFrame, series: Series, scales: dict[str, int]) -> D
     }
     fits = fits.withColumns(shapes)
     keep = [f"_{part}_{name}" for name in scales for part in ("mean", "shape")]
-    return rolled.join(fits.select(*entity, *keep), entity, "left")
+    return match(rolled, fits.select(*entity, *keep), entity)
 
 
 def spi(df: DataFrame, series: Series, precipitation: str, k: int, output: str) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -72,6 +73,15 @@ def chunked(df: DataFrame, series: Series) -> tuple[DataFrame, Series]:
     return staged, replace(series, chunk=CHUNK)
 
 
+def match(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
+) -> DataFrame:
+    """Join on ``keys`` where missing keys match each other, as they do in windows."""
+    other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(other, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def crossing(pieces: DataFrame, series: Series) -> DataFrame:
     """Keep the pieces (one row per entity and chunk) of entities in several chunks."""
     across = Window.partitionBy(*series.entity)
@@ -104,28 +114,33 @@ def carried(
     for step in steps:
         extra = extra.withColumns(step(piece_order(series)))
     extra = extra.select(*series.keys, *keep)
-    return df.join(F.broadcast(extra), list(series.keys), "left")
+    return match(df, F.broadcast(extra), series.keys)
 
 
 def over_series(
     df: DataFrame,
     series: Series,
+    uses: Sequence[str],
     build: Callable[[WindowSpec], dict[str, Column]],
     before: int = 0,
     after: int = 0,
 ) -> DataFrame:
-    """Add the window columns ``build`` makes, with frames of at most ``before``
-    earlier and ``after`` later rows.
+    """Add the window columns ``build`` makes from the columns it ``uses``, with
+    frames of at most ``before`` earlier and ``after`` later rows.
 
     In a chunked series the rows next to a chunk's ends are copied into it,
-    the window runs per chunk, and the copies are dropped again.
+    the window runs per chunk, and the copies are dropped again. The copies hold
+    nothing but keys and used columns: what earlier operators added is not
+    computed a second time for them.
     """
     if series.chunk is None:
         return df.withColumns(build(series.window()))
     own = df.withColumn(HALO, F.lit(False))
+    base = df.select(*dict.fromkeys([*series.keys, *series.order, *uses]))
     for count, forward in ((before, True), (after, False)):
         if count:
-            own = own.unionByName(_halo(df, series, count, forward).withColumn(HALO, F.lit(True)))
+            halo = _halo(base, series, count, forward).withColumn(HALO, F.lit(True))
+            own = own.unionByName(halo, allowMissingColumns=True)
     return own.withColumns(build(series.window())).where(~F.col(HALO)).drop(HALO)
 
 
@@ -141,7 +156,7 @@ def _halo(df: DataFrame, series: Series, count: int, forward: bool) -> DataFrame
     )
     edge = [F.col(c).desc() if forward else F.col(c).asc() for c in series.order]
     rows = (
-        df.join(F.broadcast(targets.drop(ROWS)), list(series.keys))
+        match(df, F.broadcast(targets.drop(ROWS)), series.keys, "inner")
         .withColumn("_nth", F.row_number().over(series.group().orderBy(*edge)))
         .where(F.col("_nth") <= count)
         .select("*", F.posexplode("_targets").alias("_step", "_target"))

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from pyspark.sql.types import NumericType
 
-from .series import ROWS, Series, carried, chunked, names, over_series
+from .series import ROWS, Series, carried, chunked, match, names, over_series
 
 
 def rolling_sum(df: DataFrame, series: Series, columns: Mapping[str, str], k: int) -> DataFrame:
@@ -23,7 +23,7 @@ def rolling_sum(df: DataFrame, series: Series, columns: Mapping[str, str], k: in
             for out, c in columns.items()
         }
 
-    return over_series(df, series, build, before=k - 1)
+    return over_series(df, series, list(columns.values()), build, before=k - 1)
 
 
 def rolling_mean(df: DataFrame, series: Series, columns: Mapping[str, str], k: int) -> DataFrame:
@@ -33,7 +33,7 @@ def rolling_mean(df: DataFrame, series: Series, columns: Mapping[str, str], k: i
         last_k = w.rowsBetween(-(k - 1), 0)
         return {out: F.avg(c).over(last_k) for out, c in columns.items()}
 
-    return over_series(df, series, build, before=k - 1)
+    return over_series(df, series, list(columns.values()), build, before=k - 1)
 
 
 def lag_features(
@@ -45,7 +45,7 @@ def lag_features(
     def build(w: WindowSpec) -> dict[str, Column]:
         return {f"{c}_lag{n}": F.lag(c, n).over(w) for c in columns for n in lags}
 
-    return over_series(df, series, build, before=max(lags))
+    return over_series(df, series, columns, build, before=max(lags))
 
 
 def lead_target(
@@ -53,7 +53,7 @@ def lead_target(
 ) -> DataFrame:
     """The value of ``column`` ``horizon`` rows later."""
     return over_series(
-        df, series, lambda w: {output: F.lead(column, horizon).over(w)}, after=horizon
+        df, series, [column], lambda w: {output: F.lead(column, horizon).over(w)}, after=horizon
     )
 
 
@@ -69,7 +69,7 @@ def multi_horizon_targets(
     def build(w: WindowSpec) -> dict[str, Column]:
         return {pattern.format(n=n): F.lead(column, n).over(w) for n in horizons}
 
-    return over_series(df, series, build, after=max(horizons))
+    return over_series(df, series, [column], build, after=max(horizons))
 
 
 def sequence_windows(
@@ -84,7 +84,7 @@ def sequence_windows(
         step = F.array(*[F.col(c).cast("double") for c in features])
         return {output: F.collect_list(step).over(w.rowsBetween(-length, -1))}
 
-    out = over_series(df, series, build, before=length)
+    out = over_series(df, series, features, build, before=length)
     return out.where(F.size(output) == length)
 
 
@@ -191,7 +191,7 @@ def zscore_anomaly(df: DataFrame, series: Series, columns: Mapping[str, str]) ->
     stats = []
     for out, c in columns.items():
         stats += [F.avg(c).alias(f"_mean_{out}"), F.stddev_samp(c).alias(f"_std_{out}")]
-    joined = df.join(df.groupBy(*series.entity).agg(*stats), list(series.entity), "left")
+    joined = match(df, df.groupBy(*series.entity).agg(*stats), series.entity)
     scores = {
         out: F.try_divide(F.col(c) - F.col(f"_mean_{out}"), F.col(f"_std_{out}"))
         for out, c in columns.items()
@@ -246,7 +246,7 @@ def _percentile_by_counts(df: DataFrame, series: Series, column: str, output: st
     scores = placed.select(
         *series.entity, F.col(value).alias(column), score.alias(output)
     )
-    return df.join(scores, [*series.entity, column], "left").select(*df.columns, output)
+    return match(df, scores, [*series.entity, column]).select(*df.columns, output)
 
 
 def group_apply(
