@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ..operators import columns as cols
 from ..operators import encode, merge, ordering, split, windows
-from ..operators.series import Series
 from ..plans import panel as plans
 from ..sources.staging import staging_path
-from ..sources.tables import read_many, read_table, write_table
+from ..sources.tables import read_many, read_table, row_count, write_table
 from . import sql
 from .inputs import (
     MEASURES,
@@ -19,14 +16,13 @@ from .inputs import (
     ROLES,
     SOURCES,
     dated_panel,
-    orders_by_nation,
     panel,
     round_columns,
     sources,
     table,
 )
 from .registry import query
-from .series import FILLED
+
 
 P = f"WITH {sql.PANEL}"
 O = f"WITH {sql.ORDERS}"
@@ -79,9 +75,7 @@ def sink_table(spark, sf_dir):
 
 
 @query("row_count", "SELECT count(*) AS rows, 11 AS columns FROM lineitem")
-def row_count(spark, sf_dir):
-    from ..sources.tables import row_count
-
+def rows_and_columns(spark, sf_dir):
     return row_count(table(spark, sf_dir, "lineitem"))
 
 
@@ -248,10 +242,6 @@ def distinct_values(spark, sf_dir):
 # Joins, unions, reshaping
 
 
-MERGED = """
-p1 AS (SELECT * FROM panel WHERE year <= 1997), p2 AS (SELECT * FROM panel WHERE year > 1997)"""
-
-
 @query("outer_merge_many", f"{P} SELECT {KEYS}, {', '.join(MEASURES)} FROM panel")
 def outer_merge_many(spark, sf_dir):
     first, second = sources(spark, sf_dir)
@@ -274,23 +264,21 @@ def outer_merge_stacked(spark, sf_dir):
 
 @query(
     "outer_merge_repeated_keys",
-    """SELECT coalesce(s.nation, c.nation) AS nation, s_suppkey, c_custkey
-    FROM (SELECT CASE WHEN s_nationkey < 20 THEN s_nationkey END AS nation, s_suppkey FROM supplier) s
-    FULL JOIN (SELECT CASE WHEN c_nationkey > 3 THEN c_nationkey END AS nation, c_custkey FROM customer
-               WHERE c_acctbal > 5000) c
-    ON s.nation IS NOT DISTINCT FROM c.nation""",
+    """SELECT coalesce(o_orderkey, l_orderkey) AS order_key, o_totalprice, l_linenumber, l_quantity
+    FROM (SELECT * FROM orders WHERE o_orderstatus <> 'P') FULL JOIN lineitem
+    ON o_orderkey = l_orderkey""",
 )
 def outer_merge_repeated_keys(spark, sf_dir):
-    """Repeated keys multiply and missing keys match each other."""
-    supplier = table(spark, sf_dir, "supplier").select(
-        F.expr("CASE WHEN s_nationkey < 20 THEN s_nationkey END AS nation"), "s_suppkey"
-    )
-    customer = (
-        table(spark, sf_dir, "customer")
-        .where("c_acctbal > 5000")
-        .select(F.expr("CASE WHEN c_nationkey > 3 THEN c_nationkey END AS nation"), "c_custkey")
+    """Lines repeat their order's key; some have no order here, some orders no lines."""
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'")
+    lines = table(spark, sf_dir, "lineitem")
+    return merge.outer_merge_many(
+        [
+            orders.select(F.col("o_orderkey").alias("order_key"), "o_totalprice"),
+            lines.select(F.col("l_orderkey").alias("order_key"), "l_linenumber", "l_quantity"),
+        ],
+        ["order_key"],
     )
-    return merge.outer_merge_many([supplier, customer], ["nation"])
 
 
 @query(

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import balance, report
 from ..operators.columns import flag_correct
-from ..operators.merge import union_by_name
 from ..operators.ordering import bottom_n, sort_desc_report, top_n
 from ..plans.evaluation import prediction_report as report_plan
 from ..sources.staging import staging_path

@@ -49,8 +49,9 @@ def standardised_indices(
     """
     inputs = {f"_x_{name}": value for name, (value, _) in indices.items()}
     rolled = df.withColumns(inputs)
-    for name, (_, k) in indices.items():
-        rolled = rolling_sum(rolled, series, {f"_sum_{name}": f"_x_{name}"}, k)
+    for scale in sorted({k for _, k in indices.values()}):
+        same = {f"_sum_{n}": f"_x_{n}" for n, (_, k) in indices.items() if k == scale}
+        rolled = rolling_sum(rolled, series, same, scale)
     rolled = rolled.withColumns({f"_sum_{n}": F.col(f"_sum_{n}") + OFFSET for n in indices})
     fit = _fit_in_windows if series.chunk is None else _fit_by_join
     fitted = fit(rolled, series, {name: k for name, (_, k) in indices.items()})

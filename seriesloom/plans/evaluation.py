@@ -54,7 +54,7 @@ def compare_models(
             length,
             len(sequence_features),
             entity,
-            len(categories(early, entity)),
+            early.select(entity).distinct().count(),
             len(categories(train, label)),
             label,
         ),

@@ -1,7 +1,8 @@
-from .staging import stage, staging_root
+from .staging import drop_staged, stage, staging_root
 from .tables import read_many, read_table, row_count, write_metrics_json, write_table
 
 __all__ = [
+    "drop_staged",
     "read_many",
     "read_table",
     "row_count",

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 _local_roots: dict[str, str] = {}
+_paths: list[str] = []
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -34,7 +35,9 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{staging_root(spark)}/seriesloom/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/seriesloom/{name}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -42,3 +45,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Delete what this driver has staged; DataFrames that read it end with it."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    dropped = 0
+    while _paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        dropped += bool(path.getFileSystem(hadoop).delete(path, True))
+    return dropped

@@ -5,7 +5,6 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from seriesloom.operators import columns as cols
 from seriesloom.operators.encode import (
