@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -11,6 +12,9 @@ from .ordering import ordered_index
 from .series import names
 
 MAX_CLASSES = 200
+# about the root of the class size; Spark limits rows per group before the shuffle
+# only for limits up to 1000
+MIN_PIVOTS, MAX_PIVOTS = 16, 1000
 
 
 def class_weights(df: DataFrame, label: str, output: str = "weight") -> DataFrame:
@@ -83,6 +87,8 @@ def smote(
     rows = members.join(picked, "id", "left").withColumn(
         "is_query", F.coalesce("is_query", F.lit(False))
     )
+    largest = max(counts[c] for c in small)
+    search.setdefault("pivots_per_class", min(MAX_PIVOTS, max(MIN_PIVOTS, isqrt(largest))))
     near = nearest_in_class(rows, k, seed=seed, **search).select("id", "nth", "nid")
     start = members.select("id", "cls", F.col("vec").alias("from_vec"))
     end = members.select(F.col("id").alias("nid"), F.col("vec").alias("to_vec"))

@@ -78,7 +78,9 @@ def boosted_trees(
     boost = GBTClassifier(
         maxIter=max_iter, maxDepth=max_depth, stepSize=step_size, seed=seed, **params
     )
-    each = OneVsRest(classifier=boost, labelCol=LABEL_CODE, featuresCol=FEATURES)
+    each = OneVsRest(
+        classifier=boost, labelCol=LABEL_CODE, featuresCol=FEATURES, parallelism=4
+    )
     return _classifier(features, label, each, weighted)
 
 

@@ -19,6 +19,7 @@ from ..sources.staging import stage
 
 BLOCK = ["cls", "cell", "salt"]
 MAX_PIVOT_VALUES = 8_000_000
+REQUESTS = 50_000
 # rounding may make a computed bound this much too small
 SLACK = 1e-9
 
@@ -156,22 +157,24 @@ def nearest_in_class(
                 bound = np.fmin(part["bound"].to_numpy(dtype=float), by_cells)
                 limit = bound * (1 + SLACK) + SLACK
                 row, col = np.nonzero(to_pivot - radius < limit[:, None])
-                times = salts[col]
-                row, col = np.repeat(row, times), np.repeat(col, times)
-                salt = np.arange(len(row)) - np.repeat(times.cumsum() - times, times)
-                out = pd.DataFrame(
-                    {
-                        "id": part["id"].to_numpy()[row],
-                        "cls": cls,
-                        "vec": part["vec"].to_numpy()[row],
-                        "cell": cell[col],
-                        "salt": salt,
-                    }
-                )
-                own = (part["cell"].to_numpy()[row] == out["cell"]) & (
-                    part["salt"].to_numpy()[row] == out["salt"]
-                )
-                yield out[~own]
+                ends = salts[col].cumsum()
+                # one request per block of each cell, in pieces of bounded size
+                for first in range(0, int(ends[-1]) if len(ends) else 0, REQUESTS):
+                    place = np.arange(first, min(first + REQUESTS, ends[-1]))
+                    pair = np.searchsorted(ends, place, side="right")
+                    asker, target = part.iloc[row[pair]], cell[col[pair]]
+                    salt = place - (ends - salts[col])[pair]
+                    own = (asker["cell"].to_numpy() == target) & (asker["salt"].to_numpy() == salt)
+                    out = pd.DataFrame(
+                        {
+                            "id": asker["id"].to_numpy(),
+                            "cls": cls,
+                            "vec": asker["vec"].to_numpy(),
+                            "cell": target,
+                            "salt": salt,
+                        }
+                    )
+                    yield out[~own]
 
     asked_schema = f"id bigint, cls {cls_type}, vec array<double>, cell int, salt int"
     asked = stage(asking.mapInPandas(route, asked_schema), "asked")

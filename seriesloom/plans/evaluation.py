@@ -20,6 +20,7 @@ from ..operators.report import multi_model_metrics
 from ..operators.series import Series
 from ..operators.split import split_ratio
 from ..operators.windows import sequence_windows
+from ..sources.staging import stage
 
 
 def compare_models(
@@ -44,7 +45,8 @@ def compare_models(
     series = Series.of(entity, date)
 
     def windows(part: DataFrame) -> DataFrame:
-        return with_window_vector(sequence_windows(part, series, sequence_features, length))
+        found = sequence_windows(part, series, sequence_features, length)
+        return stage(with_window_vector(found), "windows")
 
     forest = fit(random_forest(features, label, num_trees), train, label)
     boost = fit(boosted_trees(features, label, max_iter, weighted=True), train, label)

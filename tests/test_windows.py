@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.operators.series import CHUNK, Series, chunked
+from seriesloom.operators.series import CHUNK, Series, chunked, fitting
 from seriesloom.operators.indices import (
     classify_threshold,
     gamma_fit,
@@ -177,6 +177,12 @@ def test_chunks_do_not_change_results(spark, skewed, pieces, name):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_fitting_measures_the_largest_entity(skewed):
+    assert fitting(skewed, SERIES, 400) == (skewed, SERIES)
+    df, series = fitting(skewed, SERIES, 399)
+    assert series.chunk == CHUNK and df.count() == skewed.count()
+
+
 def test_chained_operators_read_the_table_once_per_operator(pieces):
     """Copied rows must not bring the earlier operators along."""
     df, series = pieces
