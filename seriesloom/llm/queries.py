@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import html_text, pieces, quality, secret_scan, spotsigs, token_count
+from ..sources.staging import stage, staging_path
+from . import decontaminate, html_text, license_scan, pieces, quality, secret_scan, spotsigs, token_count, warc_audit
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +42,69 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a second replica of the pages' archives, of which some records were altered or lost.
+
+    The replica is derived from the pages: FLIPPED pages have their first character
+    replaced, LOST ones are left out.
+    """
+    pages = read(spark, sf_dir, "pages")
+    flipped = F.concat(F.lit("#"), F.expr("substring(html, 2)"))
+    replica = pages.where(~F.coalesce(F.expr(LOST), F.lit(False))).withColumn("html", F.when(F.expr(FLIPPED), flipped).otherwise(F.col("html")))
+    sides = []
+    for name, side in (("first", pages), ("second", replica)):
+        path = staging_path(spark, f"warc-{name}")
+        warc_audit.write(side, path)
+        sides.append(stage(warc_audit.read(spark, path), f"records-{name}"))
+    return warc_audit.audit(*sides)
+
+
+FLIPPED = "page_id % 97 = 5 AND substring(html, 1, 1) = '<'"
+LOST = "page_id % 499 = 3"
+# bytes of a record that are the same in all
+OP4_FIXED = len(
+    "WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:>\r\nWARC-Target-URI: \r\n"
+    f"WARC-Date: {warc_audit.DATE}\r\nContent-Type: text/html\r\nWARC-Block-Digest: sha256:\r\nContent-Length: \r\n\r\n\r\n\r\n"
+) + 64
+OP4_SQL = f"""
+WITH sized AS (
+  SELECT page_id, html, ({FLIPPED}) AS flipped, ({LOST}) AS lost,
+         CAST(CAST(floor(page_id / {warc_audit.PAGES_PER_ARCHIVE}) AS BIGINT) AS VARCHAR) AS archive,
+         {OP4_FIXED} + strlen(CAST(page_id AS VARCHAR)) + strlen(url) + strlen(CAST(strlen(html) AS VARCHAR)) + strlen(html) AS length
+  FROM pages),
+placed AS (
+  SELECT *, sum(length) OVER w - length AS offset_, count(*) FILTER (WHERE lost) OVER w AS lost_before
+  FROM sized WINDOW w AS (PARTITION BY archive ORDER BY page_id ROWS UNBOUNDED PRECEDING))
+SELECT archive, 'urn:page:' || page_id AS record_id,
+       CASE WHEN lost THEN 'missing' WHEN flipped THEN 'corrupt' ELSE 'moved' END AS status,
+       CAST(offset_ AS BIGINT) AS "offset", CAST(length AS BIGINT) AS length
+FROM placed WHERE lost OR flipped OR lost_before > 0
+"""
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("shared").cast("long").alias("shared"), F.col("item_size").cast("long").alias("item_size"))
+
+
+OP6_SQL = """
+WITH words AS (
+  SELECT 0 AS side, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
+shingles AS (
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s FROM words WHERE len(w) >= 5),
+sizes AS (SELECT id, count(*) AS n FROM shingles WHERE side = 1 GROUP BY id)
+SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared, any_value(n) AS item_size
+FROM shingles d JOIN shingles b ON d.s = b.s AND d.side = 0 AND b.side = 1 JOIN sizes ON sizes.id = b.id
+GROUP BY d.id, b.id HAVING count(*) * 100 >= 75 * any_value(n)
+"""
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_count.token_counts(documents, tokenizer_path())
@@ -69,6 +133,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_html_extraction, op2_sentencepiece, op7_token_counts, op8_spotsigs, op9_secret_scan, op10_quality)
+    for f in (
+        op1_html_extraction,
+        op2_sentencepiece,
+        op4_warc_audit,
+        op5_license_scan,
+        op6_decontamination,
+        op7_token_counts,
+        op8_spotsigs,
+        op9_secret_scan,
+        op10_quality,
+    )
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_warc_audit": OP4_SQL, "op6_decontamination": OP6_SQL}
