@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.staging import stage, staging_path
-from . import decontaminate, html_text, license_scan, pieces, quality, secret_scan, spotsigs, token_count, warc_audit
+from . import decontaminate, html_text, license_scan, pieces, quality, secret_scan, shingle_join, spotsigs, token_count, warc_audit
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,27 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP3_SQL = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.r)
+SELECT reach.doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id
+FROM reach LEFT JOIN sizes ON sizes.doc_id = reach.doc_id GROUP BY reach.doc_id
+"""
+
+
 def op4_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of a second replica of the pages' archives, of which some records were altered or lost.
 
@@ -97,7 +118,7 @@ WITH words AS (
   UNION ALL
   SELECT 1, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
 shingles AS (
-  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) AS s FROM words WHERE len(w) >= 5),
+  SELECT DISTINCT side, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words WHERE len(w) >= 5),
 sizes AS (SELECT id, count(*) AS n FROM shingles WHERE side = 1 GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared, any_value(n) AS item_size
 FROM shingles d JOIN shingles b ON d.s = b.s AND d.side = 0 AND b.side = 1 JOIN sizes ON sizes.id = b.id
@@ -136,6 +157,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_html_extraction,
         op2_sentencepiece,
+        op3_jaccard_join,
         op4_warc_audit,
         op5_license_scan,
         op6_decontamination,
@@ -145,4 +167,4 @@ QUERIES: dict[str, Query] = {
         op10_quality,
     )
 }
-SQL: dict[str, str] = {"op4_warc_audit": OP4_SQL, "op6_decontamination": OP6_SQL}
+SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op4_warc_audit": OP4_SQL, "op6_decontamination": OP6_SQL}
