@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, types as T
 BATCH_BYTES = 1 << 21  # text handled at a time
 
 
-def add_column(df: DataFrame, source: str, out: str, kind: T.DataType, compute: Callable[[list], pa.Array], drop: bool = False) -> DataFrame:
-    """``df`` with ``out`` = ``compute`` of the values of ``source``, nulls included.
+def add_column(df: DataFrame, source: str, out: str, kind: T.DataType, compute: Callable[[list], pa.Array], drop: bool = False, as_arrow: bool = False) -> DataFrame:
+    """``df`` with ``out`` = ``compute`` of the values of ``source``, nulls included, as list or Arrow array.
 
     A column that has the name ``out`` already is replaced; ``drop`` leaves ``source`` out.
     """
     kept = [c for c in df.columns if c != out and not (drop and c == source)]
     inner = f"{source}__source"
+    while inner.lower() in (c.lower() for c in kept):
+        inner += "_"
     fields = [f for f in df.schema.fields if f.name in kept]
     schema = T.StructType([*fields, T.StructField(out, kind)])
     names = [*kept, out]
@@ -25,7 +27,8 @@ def add_column(df: DataFrame, source: str, out: str, kind: T.DataType, compute:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, inner):
-                values = compute(part.column(len(kept)).to_pylist())
+                column = part.column(len(kept))
+                values = compute(column if as_arrow else column.to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], values], names)
 
     return df.select(*[df[f"`{c}`"] for c in kept], df[f"`{source}`"].alias(inner)).mapInArrow(run, schema)
@@ -34,7 +37,11 @@ def add_column(df: DataFrame, source: str, out: str, kind: T.DataType, compute:
 def slices(batch: pa.RecordBatch, name: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``most`` bytes of the named column; one row at least."""
     column = batch.column(batch.schema.names.index(name))
-    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) if len(column) and column.type in (pa.string(), pa.binary()) else np.full(len(column), most // 1024)
+    sized = column.type in (pa.string(), pa.binary()) or pa.types.is_list(column.type)
+    if len(column) and sized:
+        sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1])
+    else:
+        sizes = np.full(len(column), most // 1024)
     group = np.cumsum(sizes, dtype=np.int64) // most
     edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)]
     for a, b in zip(edges, edges[1:]):

@@ -66,9 +66,10 @@ def repeats(data: np.ndarray) -> np.ndarray:
 
 
 def padded(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All texts behind each other, each with GAP zeros and filled up to whole chunks; chunks of each."""
-    chunks = np.array([-(-(len(t) + GAP) // CHUNK) for t in texts], np.int64)
-    data = b"".join(t.replace(b"\0", b"\1").ljust(n * CHUNK, b"\0") for t, n in zip(texts, chunks))
+    """All texts behind each other, each between zeros and filled up to whole chunks; chunks of each."""
+    lead = bytes(WIDTH - 1)
+    chunks = np.array([-(-(len(lead) + len(t) + GAP) // CHUNK) for t in texts], np.int64)
+    data = b"".join((lead + t.replace(b"\0", b"\1")).ljust(n * CHUNK, b"\0") for t, n in zip(texts, chunks))
     return np.frombuffer(data, np.uint8), chunks
 
 
@@ -206,10 +207,10 @@ def train(documents: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOC
     return fit([bytes(r["part"]) for r in rows], np.array([r["label"] for r in rows], np.float32))
 
 
-def score(documents: DataFrame, model: Model) -> DataFrame:
-    """``documents`` with a column ``score``; other columns are kept."""
+def score(documents: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """``documents`` with a column ``out``; other columns are kept."""
 
     def compute(texts: list[str | None]) -> pa.Array:
         return pa.array(scores([(t or "").encode() for t in texts], model), pa.float64())
 
-    return add_column(documents, "text", "score", T.DoubleType(), compute)
+    return add_column(documents, "text", out, T.DoubleType(), compute)
