@@ -28,6 +28,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.staging import stage
+
 PAGES_PER_ARCHIVE = 1000
 LEAF_BYTES = 1 << 16
 FANOUT = 8
@@ -87,7 +89,7 @@ def records(data: bytes) -> Iterator[tuple[int, int, str, str, str]]:
         fields = dict(re.findall(rb"^([^:\r\n]+): ?([^\r\n]*)", head.group(), re.M)) if head else {}
         size = fields.get(b"Content-Length", b"")
         end = head.end() + int(size) if head and size.isdigit() else -1
-        if end < 0 or not (data[end : end + 4] == b"\r\n\r\n" and (end + 4 == len(data) or data[end + 4 : end + 9] == b"WARC/")):
+        if end < 0 or data[end : end + 4] != b"\r\n\r\n":
             found = NEXT.search(data, at + 1)  # what the header says is wrong: go on at the next header
             end = found.start() if found else len(data[at:].rstrip(b"\r\n")) + at
         stop = max(min(end + 4, len(data)), at + 1)
@@ -129,16 +131,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def levels(records: DataFrame, height: int, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> list[DataFrame]:
-    """The tree's levels from the leaves to the roots: archive, node, hash."""
+    """The tree's levels from the leaves to the roots, each written once: archive, node, hash."""
     entry = F.concat_ws(":", "offset", "length", "sha256")
     ordered = F.sort_array(F.collect_list(F.struct("offset", entry.alias("e"))))
     leaf = records.groupBy("archive", F.floor(F.col("offset") / leaf_bytes).alias("node"))
-    out = [leaf.agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["e"]), ","), 256).alias("hash"))]
+    out = [stage(leaf.agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["e"]), ","), 256).alias("hash")), "leaves")]
     for _ in range(height):
         children = F.sort_array(F.collect_list(F.struct("node", F.concat_ws(":", "node", "hash").alias("e"))))
         parent = out[-1].groupBy("archive", F.floor(F.col("node") / fanout).alias("parent"))
         hashes = parent.agg(F.sha2(F.array_join(F.transform(children, lambda x: x["e"]), ","), 256).alias("hash"))
-        out.append(hashes.withColumnRenamed("parent", "node"))
+        out.append(stage(hashes.withColumnRenamed("parent", "node"), "nodes"))
     return out
 
 
@@ -151,7 +153,7 @@ def differing(left: DataFrame, right: DataFrame) -> DataFrame:
 def audit(left: DataFrame, right: DataFrame, leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> DataFrame:
     """archive, record_id, status, offset and length (on the left where it has the record).
 
-    ``left`` and ``right`` should be written tables: each is read once per level.
+    ``left`` and ``right`` should be written tables: they are read for the leaves and again for the records that differ.
     """
     longest = max(((side.agg(F.max("offset")).first()[0] or 0) for side in (left, right)))
     height = 0
@@ -165,7 +167,7 @@ def audit(left: DataFrame, right: DataFrame, leaf_bytes: int = LEAF_BYTES, fanou
             tree[level].withColumn("parent", F.floor(F.col("node") / fanout)).join(parents, ["archive", "parent"], "left_semi").select("archive", "node", "hash")
             for tree in trees
         ]
-        suspects = differing(*below)
+        suspects = stage(differing(*below), "suspects")
     sides = []
     for side in (left, right):
         inside = side.withColumn("node", F.floor(F.col("offset") / leaf_bytes)).join(suspects, ["archive", "node"], "left_semi")

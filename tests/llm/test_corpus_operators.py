@@ -1,0 +1,304 @@
+"""Operators that compare rows of a corpus: near-duplicates, archives, decontamination, fingerprints, secrets."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from seriesloom.llm import count_rtree, decontaminate, secret_scan, shingle_join, spotsigs, warc_audit
+from seriesloom.llm.components import components
+from seriesloom.llm.shingle_sets import count_vector, shingle_set
+
+VOCABULARY = [f"w{i}" for i in range(400)]
+
+
+def words_of(text):
+    lowered = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    return re.findall(r"[^\x20\x09-\x0D]+", lowered)
+
+
+def shingles_of(text):
+    w = words_of(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+
+def copies(seed, groups=25, common=True):
+    """Texts with exact and near copies at all similarities, common lines, short and empty texts."""
+    r = random.Random(seed)
+    line = " ".join(r.choice(VOCABULARY) for _ in range(9))
+    out = []
+    for _ in range(groups):
+        base = [r.choice(VOCABULARY) for _ in range(r.choice([3, 6, 12, 40, 120, 300]))]
+        for _ in range(r.choice([1, 1, 2, 6])):
+            copy = list(base)
+            for _ in range(r.choice([0, 0, 1, 2, len(base) // 30, len(base) // 12])):
+                copy[r.randrange(len(copy))] = r.choice(VOCABULARY)
+            text = " ".join(copy)
+            out.append(f"{line}\n{text}" if common and r.random() < 0.4 else text.upper() if r.random() < 0.2 else text)
+    return out + ["", None, " \n", "one", "one", line, line]
+
+
+def components_by_force(texts):
+    sets = [shingles_of(t) for t in texts]
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared and 100 * shared >= 75 * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(texts))], [len(s) for s in sets]
+
+
+def frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+# ---- near-duplicates
+
+
+@pytest.mark.parametrize("seed,frequent,chunk", [(1, 200, 1000), (2, 3, 1000), (3, 3, 4)])
+def test_components_equal_brute_force(spark, monkeypatch, seed, frequent, chunk):
+    """Small limits force frequent keys and clusters in chunks."""
+    monkeypatch.setattr(shingle_join, "FREQUENT", frequent)
+    monkeypatch.setattr(shingle_join, "CHUNK", chunk)
+    texts = copies(seed)
+    roots, sizes = components_by_force(texts)
+    rows = {r.doc_id: r for r in shingle_join.join(frame(spark, texts)).collect()}
+    assert [rows[i].component_id for i in range(len(texts))] == roots
+    assert [rows[i].n_shingles for i in range(len(texts))] == sizes
+
+
+def test_join_of_odd_documents(spark):
+    extra = ["1L AS n", "'x' AS keys", "2L AS component_id", "'y' AS set_id"]
+    text = " ".join(VOCABULARY[:50])
+    docs = spark.createDataFrame([(7, text), (7, text), (None, text), (3, text + " tail"), (9, "long " * 60_000), (5, None), (5, "")], "doc_id long, text string").selectExpr("*", *extra)
+    rows = shingle_join.join(docs).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in rows) == [(0, 46, 3), (3, 47, 3), (5, 0, 5), (5, 0, 5), (7, 46, 3), (7, 46, 3), (9, 1, 9)]
+    kept = shingle_join.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, len(r.text or "")) for r in kept.collect()) == [(3, len(text) + 5), (5, 0), (5, 0), (9, 300_000)]
+    assert shingle_join.deduplicate(docs.limit(0)).collect() == []
+
+
+def test_tree_finds_every_possible_pair():
+    r = random.Random(5)
+    sets = []
+    for _ in range(40):
+        base = [r.choice(VOCABULARY) for _ in range(r.choice([8, 40, 200]))]
+        for _ in range(4):
+            copy = [w if r.random() > 0.03 else r.choice(VOCABULARY) for w in base]
+            sets.append(shingle_set(" ".join(copy)))
+    sizes, counts = np.array([len(s) for s in sets]), np.stack([count_vector(s) for s in sets])
+    tree = count_rtree.CountTree(sizes, counts)
+    found = {tuple(sorted((int(tree.order[i]), int(tree.order[j])))) for i in range(len(sets)) for j in tree.search(i)}
+    bound = np.minimum(counts[:, None], counts[None]).sum(2)
+    wanted = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if count_rtree.possible(len(sets[i]), len(sets[j]), bound[i, j])}
+    assert found == wanted and len(wanted) < len(sets) ** 2 / 8
+
+
+def test_components_of_chains_and_stars(spark):
+    r = random.Random(6)
+    pairs = [(i, i + 1) for i in range(100, 160)] + [(7, 200 + i) for i in range(50)] + [(300, 300), (None, 5)]
+    r.shuffle(pairs)
+    rows = {x.node: x.root for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert rows == {i: 100 for i in range(100, 161)} | {200 + i: 7 for i in range(50)} | {7: 7}
+
+
+# ---- decontamination
+
+
+def test_contained_items_equal_brute_force(spark):
+    r = random.Random(8)
+    items = [" ".join(r.choice(VOCABULARY) for _ in range(k)) for k in (1, 2, 4, 5, 6, 9, 14, 30, 60) for _ in range(3)] + [None, "", items_twice()]
+    texts = []
+    for _ in range(60):
+        words = [r.choice(VOCABULARY) for _ in range(r.choice([3, 50, 900]))]
+        item = words_of(r.choice(items))
+        changed = [w if r.random() > 0.04 else "other" for w in item]
+        at = r.randrange(len(words))
+        texts.append(" ".join(words[:at] + changed + words[at:]).title())
+    texts += [None, "", items[4]]
+    wanted = set()
+    for d, t in enumerate(texts):
+        w = words_of(t)
+        for i, item in enumerate(items):
+            v = words_of(item)
+            if not v:
+                continue
+            size = min(len(v), 5)
+            a, b = {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}, {tuple(v[k : k + size]) for k in range(len(v) - size + 1)}
+            if 100 * len(a & b) >= 75 * len(b):
+                wanted.add((d, i, len(a & b), len(b)))
+    docs = frame(spark, texts)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.contained(docs, bench)
+    assert {(x.doc_id, x.item_id, x.shared, x.item_size) for x in found.collect()} == wanted and wanted
+    left = decontaminate.clean(docs.selectExpr("*", "1 AS doc_key", "2 AS h"), bench)
+    assert {x.doc_id for x in left.collect()} == set(range(len(texts))) - {x[0] for x in wanted}
+    assert left.columns == ["doc_id", "text", "doc_key", "h"]
+    assert decontaminate.contained(docs, bench.limit(0)).collect() == []
+    assert decontaminate.contained(docs.limit(0), bench).collect() == []
+
+
+def items_twice():
+    return "same words again and again same words again and again"
+
+
+# ---- archives
+
+
+def test_warc_files_round_trip(spark, tmp_path):
+    block = "<p>é\r\n\r\nWARC/1.1\r\nnot a record</p>"
+    pages = spark.createDataFrame([(1, "http://a/\r\nX: y", block), (2, None, None), (1001, "u", ""), (None, "v", "x" * 300_000)], "page_id long, url string, html string")
+    warc_audit.write(pages, str(tmp_path / "w"))
+    rows = warc_audit.read(spark, str(tmp_path / "w")).collect()
+    assert sorted((r.archive, r.record_id) for r in rows) == [("0", "urn:page:1"), ("0", "urn:page:2"), ("1", "urn:page:1001"), ("none", "urn:page:none")]
+    whole = {r.page_id: r.v for r in pages.select("page_id", warc_audit.record().alias("v")).collect()}
+    first = next(r for r in rows if r.record_id == "urn:page:1")
+    assert first.offset == 0 and first.sha256 == hashlib.sha256((whole[1] + warc_audit.BREAK).encode()).hexdigest()
+    same = warc_audit.read(spark, str(tmp_path / "w"))
+    assert warc_audit.audit(same, same).collect() == []
+
+
+def test_audit_finds_what_differs(spark):
+    r = random.Random(9)
+    rows = []
+    for archive in "ab":
+        at = 0
+        for k in range(300):
+            size = r.randrange(100, 5000)
+            rows.append((archive, at, size, f"{archive}{k}", "", hashlib.sha256(f"{archive}{k}".encode()).hexdigest()))
+            at += size
+    damaged = [x[:5] + ("bad",) if x[3] in ("a7", "b120") else x for x in rows if x[3] != "a200"]
+    damaged = [(x[0], x[1] - 1, *x[2:]) if x[0] == "b" and int(x[3][1:]) > 290 else x for x in damaged]
+    left, right = (spark.createDataFrame(x, warc_audit.RECORD_SCHEMA) for x in (rows, damaged))
+    wanted = {("a7", "corrupt"), ("b120", "corrupt"), ("a200", "missing")} | {(f"b{k}", "moved") for k in range(291, 300)}
+    for leaf, fanout in ((1 << 12, 2), (1 << 16, 8), (1 << 30, 8)):
+        found = warc_audit.audit(left, right, leaf, fanout).collect()
+        assert {(x.record_id, x.status) for x in found} == wanted
+    assert {x.status for x in warc_audit.audit(left.where("archive = 'a'"), left).collect()} == {"extra"}
+    assert warc_audit.audit(left.limit(0), left.limit(0)).collect() == []
+    assert warc_audit.audit(left, left).collect() == []
+
+
+def test_broken_bytes_are_read_on(spark):
+    good = [f"WARC/1.1\r\nWARC-Record-ID: <r{k}>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n".encode() for k in range(3)]
+    data = b"".join(good)
+    found = list(warc_audit.records(data.replace(b"<r1>\r\nContent-Length: 3", b"<r1>\r\nContent-Length: 9")))
+    assert [f[2] for f in found] == ["r0", "r1", "r2"] and sum(f[1] for f in found) == len(data)
+    found = list(warc_audit.records(good[0] + b"junk\r\n\r\n" + good[2]))
+    assert [f[2] for f in found] == ["r0", "", "r2"]
+    assert list(warc_audit.records(b"")) == []
+
+
+# ---- fingerprints
+
+
+def signatures_by_force(text):
+    w = [x for x in re.split(r"[^\w]+|_+", text.lower()) if x]
+    out = set()
+    for i, x in enumerate(w):
+        if x in spotsigs.ANCHORS:
+            chain = [y for y in w[i + 1 :] if y not in spotsigs.ANCHORS][: spotsigs.CHAIN]
+            if chain:
+                out.add((x, *chain))
+    return out
+
+
+def test_fingerprints_against_brute_force(spark):
+    texts = ["The cat and the dog of a house, with the big garden.", "the cat AND the dog... of a house", "Le chat est dans la maison et le chien aussi", "", None, "xyz", "xyz", "ab the", "The cat and the dog of a house, with the big garden."]
+    docs = frame(spark, texts).selectExpr("*", "'x' AS t", "1 AS range", "'y' AS sigs", "2 AS copy")
+    rows = sorted(spotsigs.edited_fingerprints(docs).collect(), key=lambda r: r.doc_id)
+    assert len(rows) == len(texts)
+    order = list(range(len(texts)))[::-1]
+    after = {d: order[(k + 1) % len(order)] for k, d in enumerate(order)}
+    for r in rows:
+        text, following = texts[r.doc_id] or "", texts[after[r.doc_id]] or ""
+        k = len(text) // 3
+        edited = text[: len(text) - k] + following[:k]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = signatures_by_force(text), signatures_by_force(following)
+        assert len(r.fingerprint.split()) == max(len(a), 1)
+        same = 1.0 if text == following else 0.0
+        assert r.near_next == pytest.approx(len(a & b) / len(a | b) if a and b else same)
+    assert rows[0].fingerprint == rows[8].fingerprint and rows[3].fingerprint == rows[4].fingerprint
+
+
+def test_neighbours_across_many_ranges(spark):
+    r = random.Random(3)
+    ids = r.sample(range(10_000), 500) + [77_777, 77_777, None]
+    docs = spark.createDataFrame([(i, f"text {k} of the row {i}") for k, i in enumerate(ids)], "doc_id long, text string")
+    rows = spotsigs.next_document(docs).select("doc_id", "t", F.col("n.t").alias("next")).collect()
+    assert len(rows) == len(ids) and len({x.next for x in rows}) == len(ids)  # one cycle through all rows
+    text_of = {x.t: x.doc_id for x in rows}
+    known = sorted((i for i in ids if i is not None), reverse=True)
+    for x in rows:
+        if x.doc_id is not None and x.doc_id != 77_777 and x.doc_id != known[-1]:
+            assert text_of[x.next] == known[known.index(x.doc_id) + 1]
+    one = spotsigs.next_document(docs.where("doc_id = %d" % ids[0])).collect()
+    assert len(one) == 1 and one[0].n.t == one[0].t
+    assert spotsigs.next_document(docs.limit(0)).collect() == []
+
+
+# ---- secrets
+
+PATTERNS = [
+    ("assign", re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 20),
+    ("hex", re.compile(r"[0-9a-f]+"), 24),
+]
+
+
+def base_by_force(text):
+    spans = []
+    for rank, (kind, pattern, least) in enumerate(PATTERNS):
+        for m in pattern.finditer(text or ""):
+            if len(m.group(2) if kind == "assign" else m.group()) >= least:
+                spans.append((m.start(), rank, m.end()))
+    return ",".join(f"{PATTERNS[k][0]}:{a}:{b}" for a, k, b in sorted(spans))
+
+
+def secret_texts():
+    r = random.Random(4)
+    parts = ["secret=token: abcdef ", "token=a:password=xyzabc ", 'API_key" : "', "é日😀 ", "AKIA", "ABCDEFGHIJKLMNOP123 ", "0123456789abcdef0123456789abcdef", "passwd='hunter2x' ", "\n", "x", "PassWord: ", "deadbeefdeadbeefdeadbeef", "token = "]
+    return ["".join(r.choice(parts) for _ in range(r.randrange(12))) for _ in range(300)] + [None, "", "x" * 50_000 + " token=abcdefgh"]
+
+
+def test_base_spans_equal_brute_force(spark):
+    texts = secret_texts()
+    docs = frame(spark, texts).withColumn("source", F.concat(F.lit("s"), F.col("doc_id") % 7)).selectExpr("*", "1 AS kept", "'o' AS owner", "2 AS row_id", "'t' AS t")
+    rows = secret_scan.digest(secret_scan.scan(docs)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        wanted = base_by_force(texts[r.doc_id])
+        kinds = [s.split(":")[0] for s in wanted.split(",")]
+        assert r.base_sha256 == hashlib.sha256(wanted.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(kinds.count(k) for k, *_ in PATTERNS)
+        spans = r.spans.split(",")
+        assert set(filter(None, wanted.split(","))) <= set(spans)
+        assert spans == [""] or spans == sorted(spans, key=lambda s: (int(s.split(":")[1]), secret_scan.KINDS.index(s.split(":")[0])))
+
+
+def test_ownership_separates_examples_from_live_values(spark):
+    example, own = "EXAMPLEexample0123456789", "q9W8e7R6t5Y4u3I2o1P0"
+    rows = [(i, f"token={example} x", f"s{i}", "r") for i in range(4)] + [(9, f"token={own} and again {own}", "s1", "r"), (10, f"bare {own} here", None, None), (11, "AAAAAAAAAAAAAAAAAAA1 token=111111", "s2", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: r for r in secret_scan.digest(secret_scan.scan(docs, repository=["source", "repo"])).collect()}
+    assert all(got[i].n_copied == 1 and got[i].n_live == 0 for i in range(4))
+    assert got[9].spans == "assign:0:26,mixed:37:57" and got[9].n_live == 2
+    assert got[10].spans == "mixed:5:25" and got[11].n_live == 0
+    assert got[11].spans == "assign:21:33"
+    redacted = {r.doc_id: r.text for r in secret_scan.redact(docs, repository=["source", "repo"]).collect()}
+    assert redacted[0] == f"token={example} x" and redacted[9] == "[SECRET] and again [SECRET]" and redacted[10] == "bare [SECRET] here"
+    assert secret_scan.redact(docs).columns == docs.columns
+    assert secret_scan.scan(docs.limit(0)).collect() == [] and secret_scan.redact(docs.limit(0)).collect() == []
