@@ -22,9 +22,11 @@ encoded each; other columns are kept.
 from __future__ import annotations
 
 import re
+from array import array
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, types as T
 
 from . import piece_model
@@ -33,6 +35,7 @@ from .piece_model import SPACE, PieceModel
 
 MOST_WORDS = 400_000  # segmentations kept by a worker; then it begins anew, with the same results
 UNKNOWN_PENALTY = 10.0
+NOWHERE = float("-inf")
 UNKNOWN_SURFACE = " ⁇ ".encode()
 
 
@@ -53,57 +56,54 @@ class Codec:
         for value, i in enumerate(model.byte_ids):
             surfaces[i] = bytes([value])
         surfaces[model.unknown] = UNKNOWN_SURFACE
-        self.surfaces = surfaces
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.surfaces = pa.array(surfaces, pa.binary())
+        self.singles = {p for p in model.pieces if len(p) == 1}
+        self.words: dict[str, array] = {}
 
-    def viterbi(self, text: str) -> tuple[int, ...]:
+    def viterbi(self, text: str) -> array:
         """Best segmentation of normalised text, in one pass from left to right."""
         size = len(text)
-        best = [0.0] + [None] * size
-        piece_at: list[tuple[int, int]] = [(0, -1)] * (size + 1)  # length and id of the last piece
-        done = 0  # positions up to here have their final score
-
-        def close(upto: int) -> None:
-            """Give positions without a one-character piece their unknown character."""
-            nonlocal done
-            while done < upto:
-                done += 1
-                if not single[done]:
-                    score = best[done - 1] + self.unknown_score
-                    if best[done] is None or score > best[done]:
-                        best[done], piece_at[done] = score, (1, -1)
-
-        single = [False] * (size + 1)
-        for last, (length, score, i) in self.automaton.iter(text):
-            end = last + 1
-            close(end - 1)
-            total = best[end - length] + score
-            if length == 1:
-                single[end] = True
-            if best[end] is None or total > best[end]:
-                best[end], piece_at[end] = total, (length, i)
-        close(size)
-        out: list[int] = []
+        best = [NOWHERE] * (size + 1)
+        best[0] = 0.0
+        length_at, id_at = [1] * (size + 1), [-1] * (size + 1)  # the last piece of the best segmentation
+        if self.singles.issuperset(text):
+            for last, (length, score, i) in self.automaton.iter(text):
+                end = last + 1
+                total = best[end - length] + score
+                if total > best[end]:
+                    best[end], length_at[end], id_at[end] = total, length, i
+        else:
+            ending: list[list] = [[] for _ in range(size + 1)]
+            for last, piece in self.automaton.iter(text):
+                ending[last + 1].append(piece)
+            for end in range(1, size + 1):
+                if text[end - 1] not in self.singles:
+                    ending[end].append((1, self.unknown_score, -1))
+                for length, score, i in ending[end]:
+                    total = best[end - length] + score
+                    if total > best[end]:
+                        best[end], length_at[end], id_at[end] = total, length, i
+        out = array("i")
         end = size
         while end:
-            length, i = piece_at[end]
+            i = id_at[end]
             if i >= 0:
                 out.append(i)
             elif self.model.byte_ids:
                 out.extend(self.model.byte_ids[b] for b in reversed(text[end - 1].encode("utf-8", "surrogatepass")))
             elif not out or out[-1] != self.model.unknown:  # neighbouring unknown characters are one piece
                 out.append(self.model.unknown)
-            end -= length
+            end -= length_at[end]
         out.reverse()
-        return tuple(out)
+        return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> array:
         """Piece ids of a whole text."""
         text = self.model.normalized(text)
         if not text:
-            return []
+            return array("i")
         if not self.by_space:
-            return list(self.viterbi(text))
+            return self.viterbi(text)
         if SPACE + SPACE in text:
             words = self.word.findall(text)
         else:
@@ -112,7 +112,7 @@ class Codec:
                 del words[0]
             else:
                 words[0] = words[0][1:]
-        out: list[int] = []
+        out = array("i")
         known = self.words
         for w in words:
             ids = known.get(w)
@@ -124,11 +124,21 @@ class Codec:
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.words) > MOST_WORDS:
             self.words.clear()
-        return [np.array(self.encode(t), np.int32) for t in texts]
+        return [np.frombuffer(self.encode(t), np.int32) for t in texts]
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.surfaces.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0]
+
+    def decode_all(self, rows: pa.ListArray) -> list[str]:
+        """The text of each row's ids: the bytes of all pieces, taken at once and cut at the rows' ends."""
+        flat = rows.flatten()
+        pieces = self.surfaces.take(flat)
+        starts = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset :] if len(pieces) else np.zeros(1, np.int32)
+        data = memoryview(pieces.buffers()[2] or b"")
+        lengths = np.array(pc.fill_null(pc.list_value_length(rows), 0))
+        ends = starts[np.concatenate([[0], np.cumsum(lengths)])]
+        texts = [bytes(data[a:b]).decode("utf-8", "replace") for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        return [t[1:] if self.model.dummy_prefix and t.startswith(" ") else t for t in texts]
 
 
 _codecs: dict[str, Codec] = {}
@@ -158,7 +168,7 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its piece ids; null ids are none."""
 
-    def compute(rows: list[list[int] | None]) -> pa.Array:
-        return pa.array([codec(path).decode(x or []) for x in rows], pa.string())
+    def compute(rows: pa.ListArray) -> pa.Array:
+        return pa.array(codec(path).decode_all(rows), pa.string())
 
-    return add_column(encoded, ids, out, T.StringType(), compute)
+    return add_column(encoded, ids, out, T.StringType(), compute, as_arrow=True)
