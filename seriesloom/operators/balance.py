@@ -7,6 +7,7 @@ from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .columns import map_values
 from .neighbors import nearest_in_class
 from .ordering import ordered_index
 from .series import names
@@ -26,9 +27,13 @@ def class_weights(df: DataFrame, label: str, output: str = "weight") -> DataFram
 
 
 def with_class_weights(df: DataFrame, label: str, output: str = "weight") -> DataFrame:
-    """Every row with the balanced weight of its class."""
-    weights = class_weights(df, label, output).drop("n")
-    return df.join(weights, label, "left").select(*df.columns, output)
+    """Every row with the balanced weight of its class.
+
+    Weights are fetched, one number per class as the model will hold them too, and
+    become part of the expression: the table is not moved by a few label values.
+    """
+    weights = {r[label]: r[output] for r in class_weights(df, label, output).collect()}
+    return map_values(df, label, weights, output)
 
 
 def unit_hash(*parts: Column) -> Column:

@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.text import strip_whitespace, title_case
 
@@ -81,11 +80,6 @@ def cast_columns(df: DataFrame, columns: Iterable[str], type_name: str = "string
     return df.withColumns({c: F.col(c).cast(type_name) for c in columns})
 
 
-def conform(df: DataFrame, schema: StructType) -> DataFrame:
-    """Columns of ``schema``, in its order and types."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-
-
 def filter_isin(df: DataFrame, column: str, values: Sequence) -> DataFrame:
     return df.where(F.col(column).isin(list(values)))
 
@@ -101,11 +95,16 @@ def flag_correct(df: DataFrame, truth: str, prediction: str, output: str = "corr
 
 
 def map_values(df: DataFrame, column: str, mapping: Mapping, output: str) -> DataFrame:
-    """Look a value up in a driver-side dict; values without an entry give null."""
-    rows = [(k, float(v)) for k, v in mapping.items()]
-    key_type = df.schema[column].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(rows, f"`{column}` {key_type}, `{output}` double")
-    return df.join(table, column, "left").select(*df.columns, output)
+    """Look a value up in a driver-side dict; values without an entry give null.
+
+    The dict becomes part of the expression: the table is not moved.
+    """
+    if not mapping:
+        return df.withColumn(output, F.lit(None).cast("double"))
+    kind = df.schema[column].dataType
+    pairs = [x for k, v in mapping.items() for x in (F.lit(k).cast(kind), F.lit(float(v)))]
+    found = F.try_element_at(F.create_map(*pairs), F.col(column))
+    return df.withColumn(output, found)
 
 
 def argmax_class(probabilities: Column) -> Column:

@@ -94,10 +94,10 @@ def rows_at(
 
 
 def at_or_after(df: DataFrame, order: str | Sequence[str], key: tuple | None) -> Column:
-    """Whether a row sorts at or after ``key`` (never, for None).
+    """Whether a row sorts at or after ``key`` (never, for None); null sorts lowest.
 
     The bare condition on the first column is implied by the rest; it is the
-    part a parquet scan can use.
+    part a parquet scan can use. A null first key has none.
     """
     order = names(order)
     if key is None:
@@ -106,5 +106,7 @@ def at_or_after(df: DataFrame, order: str | Sequence[str], key: tuple | None) ->
     tuple_order = F.struct(*[F.col(c) for c in order]) >= F.struct(
         *[v.alias(c) for c, v in zip(order, literals)]
     )
+    if key[0] is None:
+        return tuple_order
     first = F.col(order[0]) >= literals[0]
     return F.coalesce(first & tuple_order, F.lit(False))

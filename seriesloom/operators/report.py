@@ -98,7 +98,10 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def class_scores(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Precision, recall, F1 and support of each label from ``pair_counts``."""
+    """Precision, recall, F1 and support of each label from ``pair_counts``.
+
+    A missing prediction is an error of its true class, and no class itself.
+    """
     hit = F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)
     zero = F.lit(0).cast("long")
     as_truth = F.struct(
@@ -114,7 +117,8 @@ def class_scores(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         zero.alias("hits"),
     )
     sides = counts.select(*by, F.explode(F.array(as_truth, as_pred)).alias("side"))
-    sums = sides.groupBy(*by, F.col("side.label").alias("label")).agg(
+    known = sides.where(F.col("side.label").isNotNull())
+    sums = known.groupBy(*by, F.col("side.label").alias("label")).agg(
         *[F.sum(f"side.{c}").alias(c) for c in ("support", "predicted", "hits")]
     )
     hits, support, predicted = F.col("hits"), F.col("support"), F.col("predicted")

@@ -73,16 +73,6 @@ def chunked(df: DataFrame, series: Series) -> tuple[DataFrame, Series]:
     return staged, replace(series, chunk=CHUNK)
 
 
-def fitting(
-    df: DataFrame, series: Series, max_rows: int = 1_000_000
-) -> tuple[DataFrame, Series]:
-    """The table as it is if its largest entity has at most ``max_rows`` rows, else
-    chunked. Costs one count per entity, summed per task before the shuffle."""
-    counts = df.groupBy(*series.entity).agg(F.count(F.lit(1)).alias(ROWS))
-    largest = counts.agg(F.max(ROWS)).first()[0] or 0
-    return (df, series) if largest <= max_rows else chunked(df, series)
-
-
 def match(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left"
 ) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordering import at_or_after, rows_at
+from ..sources.staging import stage
+from .ordering import at_or_after, ordered_index, rows_at
 
 BLOCK = "fold_block"
+POSITION = "_position"
 
 
 def split_years(
@@ -27,16 +29,33 @@ def split_date_cut(
     return df.where(F.col(column) < day), df.where(F.col(column) >= day)
 
 
+def _passed(
+    df: DataFrame, order: str | Sequence[str], positions: Callable[[int], list[int]]
+) -> tuple[DataFrame, list[Column]]:
+    """The rows, and per position whether a row stands there or later in ``order``.
+
+    Cuts are conditions on the sort keys. Where rows on both sides of a cut share
+    their keys, the rows are numbered and written instead, so that each part keeps
+    its size.
+    """
+    n, keys = rows_at(df, order, lambda n: [q for p in positions(n) for q in (p, p - 1)])
+    cuts, before = keys[::2], keys[1::2]
+    if not any(cut is not None and cut == last for cut, last in zip(cuts, before)):
+        return df, [at_or_after(df, order, cut) for cut in cuts]
+    numbered = stage(ordered_index(df, order, POSITION), "numbered")
+    return numbered, [F.col(POSITION) >= p for p in positions(n)]
+
+
 def split_ratio(
     df: DataFrame, order: str | Sequence[str], ratio: float
 ) -> tuple[DataFrame, DataFrame]:
     """First ``int(ratio * n)`` rows in ``order``, and the rest.
 
-    The cut is found among the sort keys; both parts are filters of ``df``.
+    The cut is found among the sort keys; both parts are filters of ``df``. Rows
+    with equal keys may stand on either side, in numbers that make up the ratio.
     """
-    _, (cut,) = rows_at(df, order, lambda n: [int(n * ratio)])
-    late = at_or_after(df, order, cut)
-    return df.where(~late), df.where(late)
+    rows, (late,) = _passed(df, order, lambda n: [int(n * ratio)])
+    return rows.where(~late).select(*df.columns), rows.where(late).select(*df.columns)
 
 
 def fold_blocks(df: DataFrame, order: str | Sequence[str], n_splits: int) -> DataFrame:
@@ -52,9 +71,9 @@ def fold_blocks(df: DataFrame, order: str | Sequence[str], n_splits: int) -> Dat
             raise ValueError(f"{n} rows are too few for {n_splits} splits")
         return [n - i * size for i in range(n_splits, 0, -1)]
 
-    _, cuts = rows_at(df, order, starts)
-    passed = [at_or_after(df, order, cut).cast("int") for cut in cuts]
-    return df.withColumn(BLOCK, reduce(lambda a, b: a + b, passed))
+    rows, passed = _passed(df, order, starts)
+    block = reduce(lambda a, b: a + b, [p.cast("int") for p in passed])
+    return rows.select(*df.columns, block.alias(BLOCK))
 
 
 def fold(blocks: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:

@@ -8,20 +8,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
 
-def read_table(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, schema: StructType | None = None, nan_is_missing: bool = True
+) -> DataFrame:
     """Read a parquet folder, or a CSV with a header when the path ends in ``.csv``.
 
     A CSV needs its schema: inference would read the data once more, and types
     would depend on the rows. NaN in any floating column becomes null, so that
-    "missing" has one form from here on.
+    "missing" has one form from here on, unless ``nan_is_missing`` is false.
     """
     if path.rstrip("/").endswith(".csv"):
         if schema is None:
             raise ValueError("reading CSV needs an explicit schema")
         df = spark.read.schema(schema).option("header", True).csv(path)
-        return nan_to_null(df)
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    else:
+        df = (spark.read if schema is None else spark.read.schema(schema)).parquet(path)
+    return nan_to_null(df) if nan_is_missing else df
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
