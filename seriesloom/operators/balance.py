@@ -12,10 +12,9 @@ from .neighbors import nearest_in_class
 from .ordering import ordered_index
 from .series import names
 
-MAX_CLASSES = 200
-# about the root of the class size; Spark limits rows per group before the shuffle
-# only for limits up to 1000
+# about the root of the class size
 MIN_PIVOTS, MAX_PIVOTS = 16, 1000
+PROBES = 8
 
 
 def class_weights(df: DataFrame, label: str, output: str = "weight") -> DataFrame:
@@ -48,22 +47,24 @@ def smote(
     row_key: str | Sequence[str],
     k: int = 5,
     seed: int = 42,
+    probes: int | None = PROBES,
     **search,
 ) -> DataFrame:
     """Grow every class to the size of the largest by interpolated rows.
 
     A synthetic row starts at a random row of its class and goes a random part
-    of the way to one of that row's ``k`` nearest in the class. ``row_key`` tells
+    of the way to one of ``k`` near rows of the class: found in its own block and one
+    block each of the ``probes`` nearest cells, so the cost grows with the rows alone;
+    the exact nearest with ``probes=None``. A row for which fewer are found shares
+    them out, and without any stands for itself. ``row_key`` tells
     rows apart. Result: features as doubles, the label, and ``synthetic``; the
     original rows come first in the union and are kept as they are. Choices
     depend on ``seed`` and the data alone.
     """
     counts = {
         r[label]: r["n"]
-        for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(MAX_CLASSES + 1).collect()
+        for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
     }
-    if len(counts) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
     if None in counts:
         raise ValueError(f"{label} has nulls")
     most = max(counts.values(), default=0)
@@ -94,14 +95,16 @@ def smote(
     )
     largest = max(counts[c] for c in small)
     search.setdefault("pivots_per_class", min(MAX_PIVOTS, max(MIN_PIVOTS, isqrt(largest))))
-    near = nearest_in_class(rows, k, seed=seed, **search).select("id", "nth", "nid")
+    near = nearest_in_class(rows, k, seed=seed, probes=probes, **search)
+    near = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("nth", "nid"))).alias("near"))
     start = members.select("id", "cls", F.col("vec").alias("from_vec"))
     end = members.select(F.col("id").alias("nid"), F.col("vec").alias("to_vec"))
     moved = F.zip_with(
         "from_vec", "to_vec", lambda a, b: a + F.col("u") * (b - a)
     )
     made = (
-        wanted.join(near, ["id", "nth"])
+        wanted.join(near, "id", "left")
+        .withColumn("nid", F.coalesce(F.expr("get(near, (nth - 1) % greatest(size(near), 1)).nid"), "id"))
         .join(start, "id")
         .join(end, "nid")
         .select("cls", moved.alias("vec"))

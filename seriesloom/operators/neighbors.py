@@ -1,10 +1,11 @@
-"""Exact nearest neighbours of the same class.
+"""Nearest neighbours of the same class, exact or by a fixed number of probes.
 
 Rows are grouped into cells around pivots, and large cells are split at random
 into blocks of bounded size. A row's distance to the blocks' pivots bounds how
 near a neighbour in them can be (triangle inequality), so most blocks are never
 looked at, and no pair leaves the task that found it unless it is among the
-best of its block.
+best of its block. With ``probes`` a row looks at one block of each of its nearest
+cells only, so that the cost per row is the same however many rows there are.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..sources.staging import stage
 
@@ -55,33 +56,44 @@ def best(qid: np.ndarray, queries: np.ndarray, mid: np.ndarray, members: np.ndar
 
 
 def choose_pivots(rows: DataFrame, per_class: int, seed: int) -> dict:
-    """``per_class`` rows of each class by hash order, as arrays on the driver."""
-    order = Window.partitionBy("cls").orderBy(F.xxhash64("id", F.lit(seed)), "id")
-    picked = (
-        rows.withColumn("_nth", F.row_number().over(order))
-        .where(F.col("_nth") <= per_class)
-        .select("cls", "vec")
-    )
-    width = rows.select(F.size("vec")).first()[0]
-    most = MAX_PIVOT_VALUES // max(1, width)
-    found = picked.limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError("too many classes for this number of pivots per class")
-    by_class: dict = {}
-    for r in found:
-        by_class.setdefault(r.cls, []).append(r.vec)
+    """About ``per_class`` rows of each class, one at least, as arrays on the driver.
+
+    Rows whose hash lies below a threshold set by the class's size: no task sees
+    more than its own. Pivots hold at most about MAX_PIVOT_VALUES numbers; with many
+    classes or wide vectors there are fewer per class.
+    """
+    spread = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
+    first = F.min_by("vec", F.struct(spread, "id"))
+    classes = rows.groupBy("cls").agg(F.count(F.lit(1)).alias("n"), first.alias("first")).collect()
+    by_class = {r.cls: [r.first] for r in classes}
+    width = max((len(r.first) for r in classes), default=1)
+    wanted = max(1, min(per_class, MAX_PIVOT_VALUES // max(1, len(classes) * width)))
+    if wanted > 1:
+        limits = spark_map({r.cls: min(1.0, wanted / r.n) for r in classes}, rows.schema["cls"].dataType)
+        picked = rows.where(spread < limits[F.col("cls")] * float(1 << 30)).select("cls", "vec")
+        for r in picked.toLocalIterator():
+            by_class[r.cls].append(r.vec)
     return {c: np.unique(np.array(v, dtype=float), axis=0) for c, v in by_class.items()}
 
 
+def spark_map(values: dict, key_type) -> Column:
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k).cast(key_type), F.lit(v))])
+
+
 def nearest_in_class(
     rows: DataFrame,
     k: int,
     pivots_per_class: int = 128,
     block_rows: int = 1024,
     seed: int = 42,
+    probes: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest rows of the same class for every row with ``is_query``.
 
+    With ``probes`` a row is compared with its own block and with one block of at
+    most so many other cells, those of the nearest pivots: neighbours are then near,
+    not always the nearest, and can be fewer than ``k``.
+
     ``rows`` has ``id`` (bigint, unique), ``cls``, ``vec`` (array<double>) and
     ``is_query``. Result: ``id, nid, dist, nth`` with ``nth`` from 1; fewer than
     ``k`` rows where the class is smaller. Among equally distant rows at the
@@ -156,7 +168,23 @@ def nearest_in_class(
                 by_cells = np.where(enough.any(axis=1), nth, np.inf)
                 bound = np.fmin(part["bound"].to_numpy(dtype=float), by_cells)
                 limit = bound * (1 + SLACK) + SLACK
-                row, col = np.nonzero(to_pivot - radius < limit[:, None])
+                promising = to_pivot - radius < limit[:, None]
+                if probes is not None:
+                    others = np.where(cell[None, :] == part["cell"].to_numpy()[:, None], np.inf, to_pivot)
+                    rank = others.argsort(axis=1).argsort(axis=1)
+                    row, col = np.nonzero(promising & (rank < probes) & np.isfinite(others))
+                    asker = part.iloc[row]
+                    yield pd.DataFrame(
+                        {
+                            "id": asker["id"].to_numpy(),
+                            "cls": cls,
+                            "vec": asker["vec"].to_numpy(),
+                            "cell": cell[col],
+                            "salt": asker["salt"].to_numpy() % salts[col],
+                        }
+                    )
+                    continue
+                row, col = np.nonzero(promising)
                 ends = salts[col].cumsum()
                 # one request per block of each cell, in pieces of bounded size
                 for first in range(0, int(ends[-1]) if len(ends) else 0, REQUESTS):

@@ -70,3 +70,25 @@ def test_class_weights(spark):
     got = {r.y: r.weight for r in class_weights(df, "y").collect()}
     assert got == pytest.approx({"a": 0.5, "b": 1.5, "c": 3.0})
     assert with_class_weights(df, "y").agg(F.sum("weight")).first()[0] == pytest.approx(9.0)
+
+
+def test_probes_bound_the_search_and_find_near_rows(spark):
+    rng = random.Random(7)
+    rows = [(i, 0, [rng.gauss(i % 12, 0.2) for _ in range(4)]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id bigint, cls int, vec array<double>")
+    asking = df.withColumn("is_query", F.col("id") % 10 == 0)
+    exact = {(r.id, r.nid) for r in nearest_in_class(asking, 5, 24, 64).collect()}
+    found = {(r.id, r.nid) for r in nearest_in_class(asking, 5, 24, 64, probes=8).collect()}
+    assert len(found) >= 0.98 * len(exact)
+    near = {r.id: r.dist for r in nearest_in_class(asking, 5, 24, 64, probes=8).where("nth = 5").collect()}
+    true = {r.id: r.dist for r in nearest_in_class(asking, 5, 24, 64).where("nth = 5").collect()}
+    assert np.median([near[i] / true[i] for i in near]) < 2
+
+
+def test_many_classes(spark):
+    rows = [(i, i % 260 if i < 2600 else 999, float(i % 7), float(i % 11)) for i in range(2700)]
+    df = spark.createDataFrame(rows, "key int, y int, p double, q double")
+    for probes in (8,):
+        out = smote(df, "y", ["p", "q"], "key", probes=probes)
+        assert {r["count"] for r in out.groupBy("y").count().collect()} == {100}
+        assert out.where("not synthetic").count() == len(rows)
