@@ -16,7 +16,9 @@ def outer_merge_many(
 ) -> DataFrame:
     """Full outer merge of all sources on ``keys``; null keys match each other.
 
-    ``join`` folds full outer joins: exact for repeated keys, which multiply.
+    ``join`` is exact for repeated keys, which multiply: all keys once, then a left
+    join per source, whose rows are shuffled once each while the widening result
+    keeps its partitioning; two sources are one full join.
     ``stack`` unions the sources and groups once: one shuffle in place of two
     per source, the same rows, but only when every source is unique on the keys;
     a repeated key raises when the result is computed.
@@ -27,7 +29,10 @@ def outer_merge_many(
         return _stack(sources, keys)
     if how != "join":
         raise ValueError(f"unknown how: {how}")
-    return reduce(lambda left, right: full_join(left, right, keys), sources)
+    if len(sources) <= 2:
+        return reduce(lambda left, right: full_join(left, right, keys), sources)
+    every_key = reduce(DataFrame.union, [s.select(*keys) for s in sources]).distinct()
+    return reduce(lambda left, right: left_join(left, right, keys), sources, every_key)
 
 
 def _without_clashes(sources: Sequence[DataFrame], keys: tuple[str, ...]) -> list[DataFrame]:
@@ -51,6 +56,16 @@ def full_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFra
     return l.join(r, same, "full").select(*merged_keys, *values)
 
 
+def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every row of ``left`` with its matches in ``right``; null keys match each other."""
+    l, r = left.alias("l"), right.alias("r")
+    same = reduce(
+        lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    )
+    values = [F.col(f"r.{c}") for c in right.columns if c not in keys]
+    return l.join(r, same, "left").select("l.*", *values)
+
+
 def _stack(sources: Sequence[DataFrame], keys: tuple[str, ...]) -> DataFrame:
     tagged = [s.withColumn("_source", F.lit(i)) for i, s in enumerate(sources)]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)

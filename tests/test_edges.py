@@ -1,11 +1,12 @@
 """Missing and equal keys in splits, missing predictions, NaN in files, small keys in plans."""
 
+import itertools
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from seriesloom.operators import balance, columns, report, split
+from seriesloom.operators import balance, columns, merge, report, split
 from seriesloom.sources import tables
 
 
@@ -66,3 +67,19 @@ def test_few_values_move_no_table(spark):
     assert {(r.label, r.weight) for r in weighted.collect()} == {("a", 99 / 180), ("b", 99 / 18), (None, None)}
     for frame in (mapped, weighted, columns.map_values(df, "label", {}, "code")):
         assert "Exchange" not in plan(frame) and "Join" not in plan(frame)
+
+
+def test_merging_many_sources_shuffles_each_once(spark):
+    rows = [[(1, "a"), (1, "b"), (None, "c")], [(1, "d"), (2, "e"), (2, "f")], [(None, "g"), (3, "h")], [(2, "i"), (1, "j")], [(4, "k")]]
+    sources = [spark.createDataFrame(r, f"k int, v{i} string") for i, r in enumerate(rows)]
+    merged = merge.outer_merge_many(sources, "k")
+    wanted = set()
+    for k in (1, 2, 3, 4, None):
+        found = [[v for key, v in r if key == k] or [None] for r in rows]
+        wanted |= {(k, *v) for v in itertools.product(*found)}
+    assert {tuple(r) for r in merged.collect()} == wanted and merged.count() == len(wanted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan(merge.outer_merge_many(sources, "k")).count("Exchange hashpartitioning") < 2 * (len(sources) - 1)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
