@@ -6,9 +6,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 BATCH_BYTES = 1 << 21  # text handled at a time
+BATCH_ROWS = 1000
+ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session pass at most BATCH_ROWS rows at a time to Python.
+
+    Spark's 10,000 rows of text take as much memory in the executor as outside it,
+    twice for each Python step. A lower setting stays.
+    """
+    rows = int(spark.conf.get(ROWS_CONF, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(ROWS_CONF, str(BATCH_ROWS))
 
 
 def add_column(df: DataFrame, source: str, out: str, kind: T.DataType, compute: Callable[[list], pa.Array], drop: bool = False, as_arrow: bool = False) -> DataFrame:
@@ -16,6 +29,7 @@ def add_column(df: DataFrame, source: str, out: str, kind: T.DataType, compute:
 
     A column that has the name ``out`` already is replaced; ``drop`` leaves ``source`` out.
     """
+    bound_batches(df.sparkSession)
     kept = [c for c in df.columns if c != out and not (drop and c == source)]
     inner = f"{source}__source"
     while inner.lower() in (c.lower() for c in kept):

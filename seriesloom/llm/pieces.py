@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import re
 from array import array
+from functools import cached_property
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from . import piece_model
 from .batches import add_column
 from .piece_model import SPACE, PieceModel
 
-MOST_WORDS = 400_000  # segmentations kept by a worker; then it begins anew, with the same results
+MOST_WORDS = 150_000  # segmentations kept by a worker; then it begins anew, with the same results
 UNKNOWN_PENALTY = 10.0
 NOWHERE = float("-inf")
 UNKNOWN_SURFACE = " ⁇ ".encode()
@@ -42,10 +44,6 @@ UNKNOWN_SURFACE = " ⁇ ".encode()
 class Codec:
     def __init__(self, model: PieceModel):
         self.model = model
-        self.automaton = ahocorasick.Automaton()
-        for piece, i in model.pieces.items():
-            self.automaton.add_word(piece, (len(piece), model.scores[i], i))
-        self.automaton.make_automaton()
         lowest = min((model.scores[i] for i in model.pieces.values()), default=0.0)
         self.unknown_score = lowest - UNKNOWN_PENALTY
         self.by_space = model.cuts_at_space
@@ -60,6 +58,15 @@ class Codec:
         self.singles = {p for p in model.pieces if len(p) == 1}
         self.words: dict[str, array] = {}
 
+    @cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Length, score and id of each piece; workers that only decode don't build it."""
+        found = ahocorasick.Automaton()
+        for piece, i in self.model.pieces.items():
+            found.add_word(piece, (len(piece), self.model.scores[i], i))
+        found.make_automaton()
+        return found
+
     def viterbi(self, text: str) -> array:
         """Best segmentation of normalised text, in one pass from left to right."""
         size = len(text)
