@@ -137,6 +137,11 @@ def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op8_spotsigs_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alike documents of the whole table, beside the fingerprints of ``op8_spotsigs``."""
+    return spotsigs.near_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(read(spark, sf_dir, "documents"), repository=["source", "lang"]))
 
@@ -163,6 +168,7 @@ QUERIES: dict[str, Query] = {
         op6_decontamination,
         op7_token_counts,
         op8_spotsigs,
+        op8_spotsigs_near,
         op9_secret_scan,
         op10_quality,
     )

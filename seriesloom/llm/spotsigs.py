@@ -7,7 +7,9 @@ fingerprints are as alike as the Jaccard similarity of their sets. ``near_pairs`
 finds alike fingerprints of a whole table: equal ones are one class; sets are
 partitioned by length so that only neighbouring partitions can be alike; within
 them only the few smallest signatures of a set are compared first, and the rest
-only if lengths still allow the threshold.
+only if lengths and the parities of the signatures' bits still allow the threshold.
+No pair at or above the threshold is missed. ``near_documents`` says for each
+document which class it is in, how many documents that has, and how many are in alike ones.
 
 A text without signatures (empty, null, or without anchors before content words)
 has one: the hash of the whole text. So equal texts have equal fingerprints, and
@@ -17,10 +19,13 @@ two such texts are alike only if equal. Repeated rows are kept as rows.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.staging import stage
+
 # Common words of English, French, German and Spanish.
 ANCHORS = """
 a an and are as at be been but by for from had has have he her his in is it its not of on or she that the their
@@ -33,6 +38,8 @@ al como con del el ella era esta este ha la las lo los más no o para pero por s
 """.split()
 CHAIN = 2
 BITS = 40
+THRESHOLD = 0.75
+PARITIES = 2  # words of 64 parity bits per set
 
 
 def signatures(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -69,6 +76,69 @@ def likeness(left: str, right: str) -> Column:
     return common / (F.size(left) + F.size(right) - common).cast("double")
 
 
+def members(documents: DataFrame) -> DataFrame:
+    """Each row's doc_id, signatures and class; equal fingerprints are one class."""
+    rows = signatures(documents.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")), "t", "sigs")
+    return rows.select("doc_id", "sigs", F.unhex(F.md5(fingerprint("sigs").cast("binary"))).alias("class"))
+
+
+def near_pairs(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """class_a, class_b, likeness of every two of the distinct ``classes`` (class, sigs) alike enough.
+
+    Each pair comes once. A set of m signatures can reach the threshold only with sets
+    that share one of its floor((1 - threshold) * m) + 1 smallest. A partition has the
+    sets of lengths between two powers of 1 / threshold, so a partner is in the same or
+    a neighbouring one. Signatures that differ flip parity bits: two sets whose
+    parities differ in more bits than sets so alike may differ in signatures are no pair.
+    """
+    percent = round(100 * threshold)  # whole percents avoid rounding
+    m = F.size("sigs")
+    parities = [
+        F.expr(f"aggregate(filter(sigs, s -> (shiftright(s, 6) % {PARITIES}) = {k}), 0L, (a, s) -> a ^ shiftleft(1L, int(s & 63)))").alias(f"p{k}")
+        for k in range(PARITIES)
+    ]
+    smallest = F.slice("sigs", F.lit(1), F.floor((100 - percent) * m / 100).cast("int") + 1)
+    part = F.floor(F.log(m.cast("double")) / -math.log(threshold)).cast("int") if percent < 100 else m
+    keys = classes.select("class", m.alias("m"), part.alias("part"), *parities, F.explode(smallest).alias("h"))
+    shared = keys.groupBy("h").count().where("count > 1").select("h")
+    keys = stage(keys.join(shared, "h", "left_semi"), "spot-keys")
+    a = keys.withColumn("part", F.explode(F.array("part", F.col("part") + 1))).alias("a")
+    b = keys.alias("b")
+    ordered = F.struct("a.m", "a.class") < F.struct("b.m", "b.class")
+    total = F.col("a.m") + F.col("b.m")
+    flipped = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a.p{k}").bitwiseXOR(F.col(f"b.p{k}"))) for k in range(PARITIES)])
+    possible = (F.col("a.m") * 100 >= F.col("b.m") * percent) & (flipped * (100 + percent) <= total * (100 - percent))
+    same = (F.col("a.h") == F.col("b.h")) & (F.col("a.part") == F.col("b.part"))
+    met = a.join(b, same & ordered & possible).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b"))
+    met = stage(met.distinct(), "spot-met")
+    left = classes.select(F.col("class").alias("class_a"), F.col("sigs").alias("a"))
+    right = classes.select(F.col("class").alias("class_b"), F.col("sigs").alias("b"))
+    both = met.join(left, "class_a").join(right, "class_b")
+    common = both.select("class_a", "class_b", F.size(F.array_intersect("a", "b")).alias("n"), (F.size("a") + F.size("b")).alias("total"))
+    alike = common.where(F.col("n") * 100 >= (F.col("total") - F.col("n")) * percent)
+    return alike.select("class_a", "class_b", (F.col("n") / (F.col("total") - F.col("n"))).alias("likeness"))
+
+
+def near_documents(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Per row: doc_id, class_id, rows of its class, rows of other classes that are alike, and the largest likeness to these."""
+    rows = stage(members(documents), "spot-members")
+    classes = stage(rows.groupBy("class", "sigs").agg(F.count(F.lit(1)).alias("n_equal")), "spot-classes")
+    pairs = stage(near_pairs(classes, threshold), "spot-pairs")
+    ways = pairs.select(F.col("class_a").alias("class"), F.col("class_b").alias("other"), "likeness").unionByName(
+        pairs.select(F.col("class_b").alias("class"), F.col("class_a").alias("other"), "likeness")
+    )
+    counts = classes.select("class", "n_equal")
+    near = ways.join(counts.select(F.col("class").alias("other"), "n_equal"), "other").groupBy("class").agg(F.sum("n_equal").alias("n_near"), F.max("likeness").alias("nearest"))
+    known = counts.join(near, "class", "left").where("n_equal > 1 OR n_near > 0")
+    return rows.select("doc_id", "class").join(known, "class", "left").select(
+        "doc_id",
+        F.lower(F.hex("class")).alias("class_id"),
+        F.coalesce("n_equal", F.lit(1)).alias("n_equal"),
+        F.coalesce("n_near", F.lit(0)).alias("n_near"),
+        "nearest",
+    )
+
+
 def next_document(documents: DataFrame) -> DataFrame:
     """Each row's doc_id, text ``t`` and signatures ``sigs``, with those of the next row in descending doc_id.
 

@@ -234,6 +234,41 @@ def test_fingerprints_against_brute_force(spark):
     assert rows[0].fingerprint == rows[8].fingerprint and rows[3].fingerprint == rows[4].fingerprint
 
 
+@pytest.mark.parametrize("threshold", [0.75, 0.5])
+def test_near_pairs_equal_brute_force(spark, threshold):
+    r = random.Random(21)
+    words = [*VOCABULARY[:60], "the", "of", "and", "is", "a"] * 2
+    texts = [None, "", "xyz", "xyz"]
+    for _ in range(40):
+        base = [r.choice(words) for _ in range(r.choice([4, 9, 30, 90, 400]))]
+        for _ in range(r.choice([1, 2, 6])):
+            copy = list(base)
+            for _ in range(r.choice([0, 1, 2, len(base) // 40, len(base) // 20])):
+                copy[r.randrange(len(copy))] = r.choice(words)
+            texts.append(" ".join(copy[: len(copy) - r.choice([0, 0, len(copy) // 8])]))
+    sets = [frozenset(signatures_by_force(t or "")) or t or "" for t in texts]
+
+    def alike(a, b):
+        return a == b if isinstance(a, str) or isinstance(b, str) else len(a & b) * 100 >= len(a | b) * round(100 * threshold)
+
+    rows = {x.doc_id: x for x in spotsigs.near_documents(frame(spark, texts), threshold).collect()}
+    assert len(rows) == len(texts)
+    pairs = 0
+    for i, a in enumerate(sets):
+        near = [b for b in sets if a != b and alike(a, b)]
+        pairs += len(near)
+        assert rows[i].n_equal == sets.count(a) and rows[i].n_near == len(near)
+        if near:
+            assert rows[i].nearest == pytest.approx(max(len(a & b) / len(a | b) for b in near))
+        assert all((rows[i].class_id == rows[j].class_id) == (a == b) for j, b in enumerate(sets))
+    assert pairs > 50
+    members = spotsigs.members(frame(spark, texts))
+    found = spotsigs.near_pairs(members.select("class", "sigs").distinct(), threshold).collect()
+    distinct = list(set(sets))
+    assert len(found) == sum(alike(a, b) for k, a in enumerate(distinct) for b in distinct[:k])
+    assert spotsigs.near_documents(frame(spark, texts).limit(0)).collect() == []
+
+
 def test_neighbours_across_many_ranges(spark):
     r = random.Random(3)
     ids = r.sample(range(10_000), 500) + [77_777, 77_777, None]
