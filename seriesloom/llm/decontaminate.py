@@ -14,8 +14,9 @@ the shingles of the items they hit.
 
 An item of fewer than five words is the one run of all its words, searched among the
 runs of that length. Items and documents that are null or have no words hit nothing.
-Repeated items are found each; repeated documents (same id, same text) are one
-finding. Extra columns are ignored.
+An item is its id and text: texts that share an id, or have none, are found each by
+its own size, and so are equal texts with different ids. Repeated items and repeated
+documents (same id, same text) are one finding. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +30,14 @@ THRESHOLD = 0.75
 
 
 def item_shingles(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per item with words: item_id, length of its runs, set size m, partition, shingles, sketch."""
-    words = items.select("item_id", word_hashes("text").alias("w")).where(F.size("w") > 0)
+    """Per distinct item with words: item_key, item_id, length of its runs, set size m, partition, shingles, sketch."""
+    # the key is never null and tells a null id from any other
+    key = F.xxhash64(F.col("item_id").isNull(), "item_id", F.col("text").cast("string"))
+    keyed = items.select(key.alias("item_key"), "item_id", "text").dropDuplicates(["item_key"])
+    words = keyed.select("item_key", "item_id", word_hashes("text").alias("w")).where(F.size("w") > 0)
     short = [F.when(F.size("w") == k, shingle_hashes("w", k)) for k in range(1, WORDS)]
     runs = words.select(
+        "item_key",
         "item_id",
         F.least(F.size("w"), F.lit(WORDS)).alias("run"),
         F.array_sort(F.array_distinct(F.coalesce(*short, shingle_hashes("w")))).alias("shingles"),
@@ -40,7 +45,7 @@ def item_shingles(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     m = F.size("shingles")
     # percents avoid rounding: floor(m - threshold * m) + 1
     kept = F.floor((F.lit(100) - round(100 * threshold)) * m / 100).cast("int") + 1
-    return runs.select("item_id", "run", m.alias("m"), F.floor(F.log2(m)).cast("int").alias("part"), "shingles", F.slice("shingles", F.lit(1), kept).alias("sketch"))
+    return runs.select("item_key", "item_id", "run", m.alias("m"), F.floor(F.log2(m)).cast("int").alias("part"), "shingles", F.slice("shingles", F.lit(1), kept).alias("sketch"))
 
 
 def contained(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -60,14 +65,15 @@ def contained(documents: DataFrame, items: DataFrame, threshold: float = THRESHO
     # explode_outer: a plain explode would filter on the array first and so compute it twice
     found = rows.select("doc_key", F.concat(*[low(k) for k in runs]).alias("low")).select("doc_key", F.explode_outer("low").alias("h"))
     # written first, so that Spark knows its size when it picks the join
-    sketches = stage(known.select("item_id", F.explode("sketch").alias("h")), "sketches")
-    hits = stage(found.join(sketches, "h").select("doc_key", "item_id").distinct(), "hits")
-    full = known.join(hits.select("item_id").distinct(), "item_id", "left_semi")
-    wanted = stage(full.select("item_id", "m", F.explode("shingles").alias("h")), "wanted")
+    sketches = stage(known.select("item_key", F.explode("sketch").alias("h")), "sketches")
+    hits = stage(found.join(sketches, "h").select("doc_key", "item_key").distinct(), "hits")
+    full = known.join(hits.select("item_key").distinct(), "item_key", "left_semi")
+    wanted = stage(full.select("item_key", "item_id", "m", F.explode("shingles").alias("h")), "wanted")
     suspects = rows.join(hits.select("doc_key").distinct(), "doc_key", "left_semi")
     every = suspects.select("doc_id", "doc_key", F.explode_outer(F.concat(*[shingle_hashes("w", k) for k in runs])).alias("h"))
-    shared = every.join(wanted, "h").groupBy("doc_key", "doc_id", "item_id").agg(F.countDistinct("h").alias("shared"), F.first("m").alias("item_size"))
-    return shared.where(F.col("shared") * 100 >= round(100 * threshold) * F.col("item_size"))
+    shared = every.join(wanted, "h").groupBy("doc_key", "doc_id", "item_key", "item_id", F.col("m").alias("item_size")).agg(F.countDistinct("h").alias("shared"))
+    enough = shared.where(F.col("shared") * 100 >= round(100 * threshold) * F.col("item_size"))
+    return enough.select("doc_key", "doc_id", "item_id", "shared", "item_size")
 
 
 def clean(documents: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

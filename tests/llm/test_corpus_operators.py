@@ -150,6 +150,15 @@ def test_contained_items_equal_brute_force(spark):
     assert decontaminate.contained(docs.limit(0), bench).collect() == []
 
 
+def test_items_without_id_or_with_the_same_id(spark):
+    short, long, other = ("w%d " * 8) % tuple(range(8)), ("w%d " * 40) % tuple(range(50, 90)), ("w%d " * 9) % tuple(range(200, 209))
+    bench = spark.createDataFrame([(7, short), (7, long), (None, other), (None, short), (7, short), (None, None)], "item_id long, text string")
+    docs = frame(spark, [f"a b {short}", f"c {long} d", f"e f g {other}", "nothing of them at all"])
+    rows = decontaminate.contained(docs, bench).collect()
+    assert sorted((x.doc_id, x.item_id or 0, x.shared, x.item_size) for x in rows) == [(0, 0, 4, 4), (0, 7, 4, 4), (1, 7, 36, 36), (2, 0, 5, 5)]
+    assert [x.doc_id for x in decontaminate.clean(docs, bench).collect()] == [3]
+
+
 def items_twice():
     return "same words again and again same words again and again"
 
