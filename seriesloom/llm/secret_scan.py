@@ -1,11 +1,14 @@
 """Secret scan with corpus-wide ownership frequency, in native expressions only.
 
 Every text is searched for base spans (assignments, access keys, hexadecimal runs)
-and for further candidates: private-key headers, keys with a vendor's prefix, and
+and for further candidates: private keys, keys with a vendor's prefix, and
 long mixed words. The values found are hashed and aggregated over the whole corpus
 by distinct repositories and owners. A value that ``COPIED_OWNERS`` owners or more
 carry is a widely copied example; one of fewer owners that also looks live (enough
-distinct characters) belongs to its owner. Base spans are always reported. A long
+distinct characters) belongs to its owner. ``redact`` trusts this less: it leaves a copied
+value only if it has an example's marker (``EXAMPLE``), or if more than ``COPIED_SHARE``
+of all owners carry it and it does not look live; it redacts all access keys, private
+keys and vendors' keys. Base spans are always reported. A long
 mixed word becomes a span if its value is a credential's anywhere in the corpus, or
 if it looks live and is its owner's; other further candidates are always spans.
 
@@ -31,12 +34,18 @@ LEAST = {"assign": 6, "access": 20}
 BASE_KINDS = ["assign", "access", "hex"]
 
 # Further kinds, reported behind the base kinds.
-PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+# a private key is a span to its END line, or, where that is missing, over the lines of base64 behind its header
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    r"(?:(?:[^-]++|-(?!----)){0,50}+-----END [A-Z ]*PRIVATE KEY-----|(?:\s*+[A-Za-z0-9+/=]{16,}+){0,500}+)"
+)
 VENDOR = r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})"
 MIXED = r"(?<![A-Za-z0-9])(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{16,}(?![A-Za-z0-9])"
 KINDS = [*BASE_KINDS, "pem", "vendor", "mixed"]
 
 COPIED_OWNERS = 3  # distinct owners from which on a value is an example
+COPIED_SHARE = 0.5  # share of all owners above which redaction takes a value for an example
+EXAMPLE = r"(?i)example|sample|dummy|placeholder|changeme|your[-_]?(?:api|key|token|secret|password)|x{6,}"
 LIVE_CHARACTERS = 10  # distinct characters from which on a value looks live
 
 MARK = "[SECRET]"
@@ -111,12 +120,13 @@ def live(value: Column, least: int = LIVE_CHARACTERS) -> Column:
     return F.size(F.array_distinct(F.split(value, ""))) >= least
 
 
-def judged(found: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
+def judged(found: DataFrame, copied_owners: int = COPIED_OWNERS, all_owners: DataFrame | None = None) -> DataFrame:
     """Per row of numbered ``found`` that has any: its reported spans with classes, n_live, n_copied.
 
     Spans are structs of start, rank (the kind's place in KINDS), end, class and value_hash,
     in order of start, then kind. ``n_live`` counts owner-specific live-looking spans,
-    ``n_copied`` those of widely copied values; class is live, copied or plain.
+    ``n_copied`` those of widely copied values; class is live, copied or plain. With ``all_owners`` (one row, n_all) a span has the class copied only
+    if redaction leaves it.
     """
     spans = found.select("row_id", F.explode(F.concat("base", "more")).alias("s")).select(
         "row_id", "s", F.sha2(F.col("s.value"), 256).alias("value_hash")
@@ -126,7 +136,13 @@ def judged(found: DataFrame, copied_owners: int = COPIED_OWNERS) -> DataFrame:
     is_live = ~copied & live(F.col("s.value"))
     base = F.col("s.rank") < len(BASE_KINDS)
     kept = base | (F.col("s.rank") < KINDS.index("mixed")) | F.col("credential") | is_live
-    classes = F.when(copied, "copied").when(is_live, "live").otherwise("plain")
+    left = copied
+    if all_owners is not None:
+        known = known.crossJoin(F.broadcast(all_owners))
+        always = F.col("s.rank").isin([KINDS.index(k) for k in ("access", "pem", "vendor")])
+        common = (F.col("n_owners") > COPIED_SHARE * F.col("n_all")) & ~live(F.col("s.value"))
+        left = copied & ~always & (F.col("s.value").rlike(EXAMPLE) | common)
+    classes = F.when(left, "copied").when(is_live, "live").otherwise("plain")
     span = F.struct(F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), F.col("s.end").alias("end"), classes.alias("class"), "value_hash")
     return (
         known.where(kept)
@@ -153,7 +169,7 @@ def scan(documents: DataFrame, owner: str = "source", repository: list[str] | No
 
 
 def redact(documents: DataFrame, owner: str = "source", repository: list[str] | None = None, copied_owners: int = COPIED_OWNERS) -> DataFrame:
-    """``documents`` with every span in ``text`` but those of widely copied values replaced by ``[SECRET]``.
+    """``documents`` with every span in ``text`` but those of copied values that are plainly examples replaced by ``[SECRET]``.
 
     Only rows with spans are written and joined; all others pass through. Overlapping
     spans become one mark.
@@ -163,7 +179,8 @@ def redact(documents: DataFrame, owner: str = "source", repository: list[str] |
     has = F.size("base") + F.size("more") > 0
     clean = found.where(~has).select("kept.*")
     hits = numbered(found.where(has))
-    spans = judged(hits, copied_owners).select("row_id", F.filter("spans", lambda s: s["class"] != "copied").alias("cut"))
+    all_owners = documents.select(F.col(owner).cast("string")).distinct().agg(F.count(F.lit(1)).alias("n_all"))
+    spans = judged(hits, copied_owners, all_owners).select("row_id", F.filter("spans", lambda s: s["class"] != "copied").alias("cut"))
     joined = hits.select("row_id", "kept").join(spans, "row_id", "left")
     text = F.expr(
         f"""CASE WHEN size(cut) > 0 THEN aggregate(cut, named_struct('at', 0L, 'out', ''),
