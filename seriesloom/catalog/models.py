@@ -34,8 +34,7 @@ KEYS = ["entity", "date"]
 ORDER = ["date", "entity"]
 TRAIN_YEARS, TEST_YEARS = range(1995, 2000), [2000, 2001]
 TREES = 300
-# each iteration is a chain of jobs per class, which on tables this small is all waiting
-BOOST_ITERATIONS = 10
+BOOST_ITERATIONS = 100
 
 
 def ready(spark, sf_dir):
@@ -150,7 +149,6 @@ def sequence_classify(spark, sf_dir):
         len(encode.categories(train, "entity")),
         len(encode.categories(train, LABEL)),
         LABEL,
-        max_iter=30,
     )
     model = models.fit(pipeline, train, LABEL)
     scored = model.transform(test)
@@ -203,16 +201,16 @@ FOREST_SPACE = {
     "minInstancesPerNode": (1, 5),
     "featureSubsetStrategy": ["sqrt", "log2", "all"],
 }
+SEARCH_SETTINGS, SEARCH_FOLDS = 50, 5
 
 
 @query("random_search")
 def random_search(spark, sf_dir):
-    """A short search over the training years; the number of settings and folds are arguments."""
+    """SEARCH_SETTINGS settings of the whole space over SEARCH_FOLDS folds of the training years."""
     df, _ = split_ready(spark, sf_dir)
-    space = FOREST_SPACE | {"num_trees": (100, 200), "max_depth": (5, 12)}
-    settings = models.sample_settings(space, 3)
+    settings = models.sample_settings(FOREST_SPACE, SEARCH_SETTINGS)
     scores, _, _ = models.random_search(
-        df, ORDER, LABEL, lambda **s: forest(df, **s), settings, n_splits=3
+        df, ORDER, LABEL, lambda **s: forest(df, **s), settings, n_splits=SEARCH_FOLDS
     )
     return scores
 

@@ -73,3 +73,30 @@ def test_param_grid(spark):
     tree = models.random_forest(["x"], "y").getStages()[-1]
     grid = models.param_grid({"maxDepth": [3, 5], "numTrees": [1, 2]}, tree)
     assert sorted((s["maxDepth"], s["numTrees"]) for s in grid) == [(3, 1), (3, 2), (5, 1), (5, 2)]
+
+
+def test_registered_training_is_not_cut(spark, monkeypatch):
+    from seriesloom.catalog import models as catalog
+
+    seen = {}
+    monkeypatch.setattr(catalog, "split_ready", lambda *a: ("train", "test"))
+    monkeypatch.setattr(catalog.models, "random_search", lambda df, order, label, build, settings, n_splits=5, **k: seen.update(settings=settings, folds=n_splits) or (None, None, None))
+    catalog.random_search(None, None)
+    assert seen["folds"] == 5 and seen["settings"] == models.sample_settings(catalog.FOREST_SPACE, 50)
+    monkeypatch.setattr(catalog, "features_of", lambda df: FEATURES)
+    assert catalog.boost(None) and catalog.BOOST_ITERATIONS == 100
+    monkeypatch.setattr(catalog, "sequence_windows", lambda *a: None)
+    monkeypatch.setattr(catalog, "ready", lambda *a: None)
+    monkeypatch.setattr(catalog, "stage", lambda *a: None)
+    monkeypatch.setattr(catalog, "split_years", lambda *a: (None, None))
+    monkeypatch.setattr(catalog.models, "with_window_vector", lambda df: None)
+    monkeypatch.setattr(catalog.encode, "categories", lambda *a: ["x"] * 3)
+
+    def built(pipeline, *rest):
+        seen["iterations"] = pipeline.getStages()[-1].getMaxIter() if pipeline.getStages()[-1].hasParam("maxIter") else [s.getMaxIter() for s in pipeline.getStages() if s.hasParam("maxIter")][0]
+        raise StopIteration
+
+    monkeypatch.setattr(catalog.models, "fit", built)
+    with pytest.raises(StopIteration):
+        catalog.sequence_classify(None, None)
+    assert seen["iterations"] == 100
