@@ -7,11 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.staging import stage, staging_path
-from . import decontaminate, html_text, license_scan, pieces, quality, secret_scan, shingle_join, spotsigs, token_count, warc_audit
+from . import (
+    conversation_repair,
+    decontaminate,
+    hard_negatives,
+    html_text,
+    id_files,
+    license_scan,
+    pieces,
+    quality,
+    secret_scan,
+    shingle_join,
+    spotsigs,
+    token_count,
+    warc_audit,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = "piece_bpe_32k.model"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 4096
 
 
@@ -157,6 +172,52 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging_path(spark, "token-files")
+    id_files.write(read(spark, sf_dir, "documents"), path, tokenizer_path(BYTE_TOKENIZER), end_id=0)
+    return id_files.read(spark, path, ids=False)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations damaged by a checksum, their faults, and the cheapest repair."""
+    conversations = read(spark, sf_dir, "conversations")
+    rows = conversation_repair.damage(conversations)
+    reported = stage(conversation_repair.report(rows), "report")
+    hashes = conversation_repair.digests(conversation_repair.repair(rows, reported))
+    original = conversations.select(F.col("conv_id").alias("id")).distinct()
+    same = lambda name: F.col("id").eqNullSafe(F.col(name))
+    both = original.join(reported, same("conv_id"), "left").join(hashes.withColumnRenamed("conv_id", "hashed"), same("hashed"), "left")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return both.select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in numbers],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are rows whose id is divisible by 100; every seventh id has the next label."""
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings"), F.expr("vec_id % 100 = 0"), label=label)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id AS other, a.label = v.label AS same, CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (
+  SELECT p.anchor_id, p.other AS positive_id, s.other AS negative_id, p.score AS positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY s.score DESC, s.other) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -171,6 +232,9 @@ QUERIES: dict[str, Query] = {
         op8_spotsigs_near,
         op9_secret_scan,
         op10_quality,
+        op11_token_files,
+        op12_conversation_repair,
+        op13_hard_negatives,
     )
 }
-SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op4_warc_audit": OP4_SQL, "op6_decontamination": OP6_SQL}
+SQL: dict[str, str] = {"op3_jaccard_join": OP3_SQL, "op4_warc_audit": OP4_SQL, "op6_decontamination": OP6_SQL, "op13_hard_negatives": OP13_SQL}
