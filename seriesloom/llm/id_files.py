@@ -21,7 +21,8 @@ for the trainer mean an empty dictionary. ``read`` gives all documents back; ``f
 reads a single one, by the index, without touching the other frames.
 
 Words: with a byte-level pre-tokenizer words are encoded apart from each other, so a
-task asks the library once for each word it has not met lately.
+task asks the library once for each word it has not met lately. Texts with letters of
+which only newer versions of Unicode know, and other tokenizers, go to the library whole.
 
 A null text is an empty one: its only id is the end. Null ids come first; documents with
 equal ids stand in the order of a hash of their text, and repeated rows stay, each
@@ -34,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import json
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -78,11 +80,12 @@ class Encoder:
             self.words = regex.compile(named + BYTE_LEVEL_WORDS)
             self.special = regex.compile(named[:-1]) if named else None
         self.known: dict[str, bytes] = {}
+        self.letters: set[str] = set()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.words is None:
             return self._by_library(texts)
-        split = [self._split(t) for t in texts]
+        split = [self._split(t) if self._assigned(t) else () for t in texts]
         new = {w for words in split for w in words} - self.known.keys()
         if len(self.known) + len(new) > MOST_WORDS:
             self.known.clear()
@@ -92,11 +95,23 @@ class Encoder:
         fresh = dict(zip(asked, self._by_library(asked)))
         known.update(fresh)
         out = [b"".join([known[w] for w in words]) for words in split]
+        for i, words in enumerate(split):
+            if words == ():
+                out[i] = self._by_library([texts[i]])[0]
         for word in asked:
             if len(word) > LONGEST_WORD:
                 del known[word]
         return out
 
+    def _assigned(self, text: str) -> bool:
+        """Whether no letter is one that only some versions of Unicode know: there words may differ from the library's."""
+        if not text.isascii():
+            new = set(text) - self.letters
+            if any(unicodedata.category(c) == "Cn" for c in new):
+                return False
+            self.letters |= new
+        return True
+
     def _split(self, text: str) -> list[str]:
         """Words, special tokens among them, in order."""
         if self.special is None or not self.special.search(text):
