@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import balance, encode, models, report
+from ..operators import balance, encode, forests, models, report
 from ..operators.split import split_years, timeseries_folds
 from ..operators.columns import feature_columns
-from ..operators.merge import union_by_name
 from ..operators.series import Series
+from ..operators.trees import Forest
 from ..operators.windows import sequence_windows
 from ..plans import panel as plans
 from ..plans.evaluation import compare_models as compare_plan
@@ -178,57 +178,80 @@ def score_batch(spark, sf_dir):
     return models.score_batch(path, test.drop("m4_pct"), [*KEYS, LABEL])
 
 
+FOREST = {"num_trees": TREES, "max_depth": 10}
+
+
 @query("cross_validate")
 def cross_validate(spark, sf_dir):
     """Weighted forests over expanding folds of the training years."""
     df, _ = split_ready(spark, sf_dir)
-    return models.cross_validate(df, ORDER, LABEL, forest(df, weighted=True))
+    pairs = models.cross_validate_forests(df, ORDER, LABEL, features_of(df), [Forest(**FOREST)], weighted=True)
+    return fold_accuracy(pairs)
+
+
+def fold_accuracy(pairs):
+    right = F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0))
+    return pairs.groupBy("fold").agg((right / F.sum("n")).alias("accuracy"))
 
 
 @query("cross_validate_smote")
 def cross_validate_smote(spark, sf_dir):
+    """Forests on folds whose training part SMOTE has grown, with their full reports."""
     df, _ = split_ready(spark, sf_dir)
-    return models.cross_validate(
-        df, ORDER, LABEL, forest(df, weighted=True), balance=features_of(df), reports=True
+    pairs = models.cross_validate_forests(
+        df, ORDER, LABEL, features_of(df), [Forest(**FOREST)], weighted=True, balance=True
     )
+    return report.report_of_counts(pairs, ["fold"])
 
 
-# The forest search space of the task. MLlib's forests know no least
-# number of rows to split a node, the space's fifth parameter.
+# The search space and the grid of forests
 FOREST_SPACE = {
     "num_trees": (100, 500),
     "max_depth": (5, 30),
-    "minInstancesPerNode": (1, 5),
-    "featureSubsetStrategy": ["sqrt", "log2", "all"],
+    "min_split": (2, 10),
+    "min_leaf": (1, 5),
+    "features": ["sqrt", "log2", "all"],
+}
+FOREST_GRID = {
+    "num_trees": [200, 500, 800],
+    "max_depth": [None, 10, 20],
+    "min_split": [2, 5, 10],
+    "min_leaf": [1, 2, 4],
+    "features": ["sqrt", "log2"],
 }
 SEARCH_SETTINGS, SEARCH_FOLDS = 50, 5
 
 
+def searched(spark, sf_dir, **options):
+    df, _ = split_ready(spark, sf_dir)
+    settings = models.sample_settings(FOREST_SPACE, SEARCH_SETTINGS)
+    return models.random_search(df, ORDER, LABEL, features_of(df), settings, SEARCH_FOLDS, **options)
+
+
 @query("random_search")
 def random_search(spark, sf_dir):
     """SEARCH_SETTINGS settings of the whole space over SEARCH_FOLDS folds of the training years."""
-    df, _ = split_ready(spark, sf_dir)
-    settings = models.sample_settings(FOREST_SPACE, SEARCH_SETTINGS)
-    scores, _, _ = models.random_search(
-        df, ORDER, LABEL, lambda **s: forest(df, **s), settings, n_splits=SEARCH_FOLDS
-    )
-    return scores
+    scores, _, _ = searched(spark, sf_dir)
+    return scores.select("setting", "params", "mean_f1_macro").distinct()
+
+
+@query("random_search_smote")
+def random_search_smote(spark, sf_dir):
+    """The same search where each fold's training part is grown by SMOTE and weighted by class."""
+    return searched(spark, sf_dir, weighted=True, balance=True)[0]
 
 
 @query("param_grid")
 def param_grid(spark, sf_dir):
-    """Every setting of a grid, with the accuracy of its forest on the test years."""
-    train, test = split_ready(spark, sf_dir)
-    tree = forest(train).getStages()[-1]
-    space = {"maxDepth": [3, 6], "featureSubsetStrategy": ["sqrt", "log2"]}
-    results = []
-    for setting in models.param_grid(space, tree):
-        pipeline = forest(train, num_trees=5)
-        pipeline.getStages()[-1].setParams(**setting)
-        scored = models.predict(models.fit(pipeline, train, LABEL), test)
-        score = report.accuracy(scored, LABEL, "prediction")
-        results.append(score.withColumns({k: F.lit(str(v)) for k, v in setting.items()}))
-    return union_by_name(results)
+    """Every setting of the grid, with the accuracy of its forest on the test years."""
+    df = ready(spark, sf_dir).where(F.col("year").between(min(TRAIN_YEARS), max(TEST_YEARS)))
+    late = F.col("year").isin(TEST_YEARS).cast("int")
+    binned = forests.bin_table(df, features_of(df), LABEL, part=late, edges=forests.edges_of(df.where(late == 0), features_of(df)))
+    grid = models.param_grid(FOREST_GRID)
+    pairs = forests.cross_validate(binned, [Forest(**s) for s in grid], [1])
+    right = F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0))
+    values = [F.element_at(F.array(*[F.lit(str(s[k])) for s in grid]), F.col("setting") + 1).alias(k) for k in FOREST_GRID]
+    return pairs.groupBy("setting").agg((right / F.sum("n")).alias("accuracy")).select("accuracy", *values)
 
 
 @query("compare_models")
@@ -313,6 +336,30 @@ def cross_validate_facts(spark, sf_dir):
     return folds.agg(F.count_if(F.col("role") == "train").alias("train"), F.count_if(F.col("role") == "test").alias("test"))
 
 
+@query(
+    "random_search_facts",
+    f"""SELECT CAST(fold AS INTEGER) AS fold, {SEARCH_SETTINGS} AS settings, {SEARCH_SETTINGS} AS scored FROM (SELECT unnest(range(1, {SEARCH_FOLDS + 1})) AS fold)""",
+)
+def random_search_facts(spark, sf_dir):
+    """Settings scored on each fold, and scores between 0 and 1."""
+    scores, _, _ = searched(spark, sf_dir, refit=False)
+    between = F.count_if(F.col("f1_macro").between(0, 1)).cast("int")
+    return scores.groupBy("fold").agg(F.count_distinct("setting").cast("int").alias("settings"), between.alias("scored"))
+
+
+@query(
+    "param_grid_facts",
+    f"SELECT CAST(162 AS BIGINT) AS settings, CAST(162 AS BIGINT) AS scored, (SELECT count(*) FROM {ready_sql('test')}) AS rows",
+)
+def param_grid_facts(spark, sf_dir):
+    """Settings of the grid, those with a share of right rows, and the rows that this is a share of."""
+    test = split_ready(spark, sf_dir)[1].agg(F.count(F.lit(1)).alias("rows"))
+    grid = param_grid(spark, sf_dir)
+    whole = F.col("accuracy") * F.col("rows")
+    counted = grid.join(F.broadcast(test), how="cross").groupBy("rows")  # one row
+    return counted.agg(F.count(F.lit(1)).alias("settings"), F.count_if(F.abs(whole - F.round(whole)) < 1e-6).alias("scored")).select("settings", "scored", "rows")
+
+
 @query(
     "smote_facts",
     f"{CLASS_SQL} SELECT label, n AS kept, CAST(0 AS BIGINT) AS outside FROM c",

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
 import random
-from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
 
@@ -25,18 +23,22 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.param import Param, Params
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.staging import stage
 from .balance import smote, with_class_weights
 from .columns import align_to_schema
-from .report import accuracy, classification_report, f1_macro
+from .forests import Binned, ForestModel, bin_table, edges_of, cross_validate as cross_validate_table, train as train_forest
+from .report import accuracy, class_scores, classification_report
 from .split import BLOCK, fold, fold_blocks
+from .trees import Forest
 
 LABEL_CODE = "_label"
 FEATURES = "_features"
 WEIGHT = "_weight"
+ONLY = "_only"  # the fold that a row belongs to, if not all
 
 
 def random_forest(
@@ -250,49 +252,87 @@ def sample_settings(
     return [{name: draw(space[name]) for name in sorted(space)} for _ in range(n_iter)]
 
 
-def param_grid(space: Mapping[str, Sequence], estimator: Estimator) -> list[dict[str, Any]]:
+def param_grid(space: Mapping[str, Sequence]) -> list[dict[str, Any]]:
     """Every combination, as settings by parameter name."""
     builder = ParamGridBuilder()
     for name, values in space.items():
-        builder = builder.addGrid(estimator.getParam(name), list(values))
+        builder = builder.addGrid(Param(Params._dummy(), name, ""), list(values))
     return [{p.name: v for p, v in setting.items()} for setting in builder.build()]
 
 
-def random_search(
+def fold_table(
     df: DataFrame,
     order: Sequence[str],
     label: str,
-    build: Callable[..., Pipeline],
-    settings: Sequence[Mapping[str, Any]],
+    features: Sequence[str],
     n_splits: int = 5,
-    parallelism: int = 4,
-) -> tuple[DataFrame, dict[str, Any], PipelineModel]:
-    """Score settings by mean macro F1 over expanding folds; refit the best.
+    balance: bool = False,
+    **smote_params,
+) -> Binned:
+    """The table in bins, with the rows' fold blocks.
 
-    Returns the scores, the best setting and its model. Fits run from a small
-    driver thread pool; the work of each is on the executors.
+    With ``balance`` each fold also has the rows that SMOTE adds to its training part;
+    they are of that fold alone and are never tested.
     """
     blocks = stage(fold_blocks(df, order, n_splits), "folds")
+    rows = blocks.select(*features, label, F.col(BLOCK), F.lit(0).alias(ONLY))
+    edges = edges_of(rows, features)
+    if balance:
+        for i in range(1, n_splits + 1):
+            grown = smote(fold(blocks, i)[0], label, features, order, **smote_params).where("synthetic")
+            rows = rows.unionByName(grown.select(*features, label, F.lit(-1).alias(BLOCK), F.lit(i).alias(ONLY)))
+        rows = stage(rows, "balanced")
+    return bin_table(rows, features, label, F.col(BLOCK), F.col(ONLY), edges=edges)
 
-    def score(task: tuple[int, int]) -> tuple[int, int, float]:
-        number, i = task
-        train, test = fold(blocks, i)
-        model = fit(build(**settings[number]), train, label)
-        value = f1_macro(predict(model, test), label, "prediction").first()[0]
-        return number, i, float(value) if value is not None else math.nan
-
-    tasks = [(s, i) for s in range(len(settings)) for i in range(1, n_splits + 1)]
-    with ThreadPoolExecutor(parallelism) as pool:
-        scores = list(pool.map(score, tasks))
-    table = df.sparkSession.createDataFrame(
-        scores, "setting int, fold int, f1_macro double"
-    ).groupBy("setting").agg(F.avg("f1_macro").alias("mean_f1_macro"))
-    means: dict[int, list[float]] = {}
-    for number, _, value in scores:
-        means.setdefault(number, []).append(value)
-    best = max(means, key=lambda s: (sum(means[s]) / len(means[s]), -s))
-    model = fit(build(**settings[best]), blocks.drop(BLOCK), label)
-    described = df.sparkSession.createDataFrame(
-        [(i, str(dict(s))) for i, s in enumerate(settings)], "setting int, params string"
-    )
-    return described.join(table, "setting"), dict(settings[best]), model
+
+def cross_validate_forests(
+    df: DataFrame,
+    order: Sequence[str],
+    label: str,
+    features: Sequence[str],
+    forests: Sequence[Forest],
+    n_splits: int = 5,
+    weighted: bool = False,
+    balance: bool = False,
+    **smote_params,
+) -> DataFrame:
+    """Rows per setting, fold, truth and prediction, from which any report follows."""
+    table = fold_table(df, order, label, features, n_splits, balance, **smote_params)
+    return cross_validate_table(table, forests, range(1, n_splits + 1), weighted)
+
+
+def random_search(
+    df: DataFrame,
+    order: Sequence[str],
+    label: str,
+    features: Sequence[str],
+    settings: Sequence[Mapping[str, Any]],
+    n_splits: int = 5,
+    weighted: bool = False,
+    balance: bool = False,
+    refit: bool = True,
+    **smote_params,
+) -> tuple[DataFrame, dict[str, Any], ForestModel | None]:
+    """Score forests by mean macro F1 over expanding folds; refit the best.
+
+    Settings are those of ``Forest``. Returns a row per setting and fold, the best
+    setting and its model. The table is binned once, and all forests on all folds
+    are grown in the same passes.
+    """
+    forests = [Forest(**s) for s in settings]
+    table = fold_table(df, order, label, features, n_splits, balance, **smote_params)
+    counts = cross_validate_table(table, forests, range(1, n_splits + 1), weighted)
+    scores = class_scores(counts, ["setting", "fold"]).groupBy("setting", "fold").agg(F.avg("f1_score").alias("f1_macro"))
+    params = F.element_at(F.array(*[F.lit(str(dict(s))) for s in settings]), F.col("setting") + 1)
+    mean = F.avg("f1_macro").over(Window.partitionBy("setting"))
+    scored = stage(scores.select("setting", params.alias("params"), "fold", "f1_macro", mean.alias("mean_f1_macro")), "scores")
+    top = scored.orderBy(F.desc("mean_f1_macro"), "setting").first()
+    best = dict(settings[top.setting])
+    if not refit:
+        return scored, best, None
+    if balance:
+        rows = smote(df, label, features, order, **smote_params).select(*features, label)
+        whole = bin_table(stage(rows, "balanced"), features, label, edges=table.edges)
+    else:
+        whole = table
+    return scored, best, train_forest(whole, forests[top.setting], weighted)

@@ -142,7 +142,12 @@ def classification_report(
     computed beside the class rows (a window over the few labels of a report).
     """
     by = names(by)
-    scores = class_scores(pair_counts(df, truth, prediction, by), by)
+    return report_of_counts(pair_counts(df, truth, prediction, by), by)
+
+
+def report_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``classification_report`` of what ``pair_counts`` gives."""
+    scores = class_scores(counts, by)
     report = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     total = F.sum("support").over(report)
     metrics = ("precision", "recall", "f1_score")
