@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import columns as cols
 from ..operators import encode, merge, ordering, split, windows
 from ..plans import panel as plans
-from ..sources.staging import staging_path
-from ..sources.tables import read_many, read_table, row_count, write_table
+from ..sources.staging import stage, staging_path
+from ..sources.tables import read_many, read_table, row_count, row_counts, write_table
 from . import sql
 from .inputs import (
+    LAST_YEAR_OF_FIRST_PERIOD,
     MEASURES,
     MONTHS,
     ROLES,
@@ -586,6 +587,27 @@ def merge_panel(spark, sf_dir):
     return plans.merge_panel(sources(spark, sf_dir), how="join")
 
 
+SOURCE_ROWS = " UNION ALL ".join(
+    f"SELECT 'period {i} {name}' AS stage, count(*) AS rows FROM panel WHERE coalesce({', '.join(measures)}) IS NOT NULL AND year {sign} {LAST_YEAR_OF_FIRST_PERIOD}"
+    for i, sign in ((1, "<="), (2, ">"))
+    for name, measures in SOURCES.items()
+)
+PERIOD_ROWS = " UNION ALL ".join(
+    f"SELECT '{stage}', count(*) FROM filled WHERE {condition}"
+    for stage, condition in (
+        ("period 1", f"year <= {LAST_YEAR_OF_FIRST_PERIOD}"), ("period 2", f"year > {LAST_YEAR_OF_FIRST_PERIOD}"), ("panel", "true")
+    )
+)
+
+
+@query("merge_panel_counts", f"WITH {MERGED_PANEL} {SOURCE_ROWS} UNION ALL {PERIOD_ROWS}")
+def merge_panel_counts(spark, sf_dir):
+    """Rows of every source, period and the panel, counted while the panel is written."""
+    counts = {}
+    stage(plans.merge_panel(sources(spark, sf_dir), how="join", counts=counts), "panel")
+    return row_counts(spark, counts)
+
+
 def clean_panel(spark, sf_dir):
     named = cols.normalize_key(panel(spark, sf_dir), "entity")
     return windows.interpolate_linear(named, MONTHS, MEASURES)

@@ -8,17 +8,20 @@ model is the same from disk, how many rows a fold has.
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ..operators import balance, encode, forests, models, report
+from ..operators import balance, encode, forests, models, report, sequence_model
 from ..operators.split import split_years, timeseries_folds
-from ..operators.columns import feature_columns
+from ..operators.boosting import Boosting
+from ..operators.columns import feature_columns, normalize_key
+from ..operators.merge import lookup_join
+from ..operators.ordering import bottom_n, top_n
 from ..operators.series import Series
 from ..operators.trees import Forest
 from ..operators.windows import sequence_windows
 from ..plans import panel as plans
 from ..plans.evaluation import compare_models as compare_plan
+from ..plans.training import load_final, train_final
 from ..sources.staging import stage, staging_path
 from . import basic
 from .inputs import ROLES, table
@@ -34,7 +37,7 @@ KEYS = ["entity", "date"]
 ORDER = ["date", "entity"]
 TRAIN_YEARS, TEST_YEARS = range(1995, 2000), [2000, 2001]
 TREES = 300
-BOOST_ITERATIONS = 100
+BOOST_ROUNDS = 100
 
 
 def ready(spark, sf_dir):
@@ -55,10 +58,6 @@ def forest(df, **params):
     return models.random_forest(features_of(df), LABEL, **({"num_trees": TREES} | params))
 
 
-def boost(df, **params):
-    return models.boosted_trees(features_of(df), LABEL, **({"max_iter": BOOST_ITERATIONS} | params))
-
-
 def importances(spark, model):
     tree = model.stages[1]
     values = tree.featureImportances.toArray().tolist()
@@ -119,11 +118,15 @@ def rf_smote_weighted(spark, sf_dir):
     return report.classification_report(models.predict(model, test), LABEL, "prediction")
 
 
+BOOSTING = Boosting(BOOST_ROUNDS)
+
+
 @query("boost_train")
 def boost_train(spark, sf_dir):
+    """Boosted trees with class weights, and their report on the test years."""
     train, test = split_ready(spark, sf_dir)
-    model = models.fit(boost(train, weighted=True), train, LABEL)
-    return report.classification_report(models.predict(model, train), LABEL, "prediction")
+    model = models.train_trees(train, LABEL, features_of(train), BOOSTING, weighted=True)
+    return report.classification_report(model.predict(test), LABEL, "prediction")
 
 
 @query("boost_predict")
@@ -133,31 +136,53 @@ def boost_predict(spark, sf_dir):
     values = encode.categories(train, "entity")
     wide = encode.one_hot_encode(train.withColumn("who", F.col("entity")), "who", values)
     late = encode.one_hot_encode(test.withColumn("who", F.col("entity")), "who", values)
-    model = models.fit(boost(wide, weighted=True), wide, LABEL)
-    return models.predict(model, late).select(*KEYS, LABEL, "prediction")
+    model = models.train_trees(wide, LABEL, features_of(wide), BOOSTING, weighted=True)
+    return model.predict(late).select(*KEYS, LABEL, "prediction")
+
+
+@query("boost_smote")
+def boost_smote(spark, sf_dir):
+    """Boosted trees on rows that SMOTE has balanced, and their report on the test years."""
+    train, test = split_ready(spark, sf_dir)
+    features = features_of(train)
+    grown = stage(balance.smote(train, LABEL, features, KEYS), "grown")
+    model = models.train_trees(grown, LABEL, features, BOOSTING)
+    return report.classification_report(model.predict(test), LABEL, "prediction")
+
+
+SEQUENCE_KEYS = ["entity", "date"]
+
+
+def scored_windows(spark, sf_dir):
+    """Windows of the test years with the prediction of a model trained on those before."""
+    df = stage(sequence_windows(ready(spark, sf_dir), Series.of("entity", "date"), SEQUENCE, 12), "windows")
+    train, test = split_years(df, TRAIN_YEARS, TEST_YEARS)
+    return sequence_model.train(train, "entity", LABEL, weighted=True).predict(test)
 
 
 @query("sequence_classify")
 def sequence_classify(spark, sf_dir):
-    df = sequence_windows(ready(spark, sf_dir), Series.of("entity", "date"), SEQUENCE, 12)
-    df = stage(models.with_window_vector(df), "windows")
-    train, test = split_years(df, TRAIN_YEARS, TEST_YEARS)
-    pipeline = models.sequence_classifier(
-        12,
-        len(SEQUENCE),
-        "entity",
-        len(encode.categories(train, "entity")),
-        len(encode.categories(train, LABEL)),
-        LABEL,
-    )
-    model = models.fit(pipeline, train, LABEL)
-    scored = model.transform(test)
-    return scored.select(
-        *KEYS,
-        LABEL,
-        F.col("predicted_label").alias("prediction"),
-        F.array_max(vector_to_array("probability")).alias("probability"),
-    )
+    return scored_windows(spark, sf_dir).select(*SEQUENCE_KEYS, LABEL, "prediction", "probability")
+
+
+@query("sequence_entity_report")
+def sequence_entity_report(spark, sf_dir):
+    """How well each entity's windows are classified: the five best and the five worst, by name."""
+    scored = stage(scored_windows(spark, sf_dir), "scored")
+    recalls = {"extreme_recall": "Extreme", "moderate_recall": "Moderate"}
+    numbers = normalize_key(table(spark, sf_dir, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("number")), "name")
+    by_entity = lookup_join(report.entity_report(scored, "entity", LABEL, "prediction", recalls), numbers, "entity", "name")
+    by_entity = stage(by_entity.drop("name"), "by-entity")
+    best, worst = (some(by_entity, 5, report.ACCURACY, "entity") for some in (top_n, bottom_n))
+    return best.withColumn("place", F.lit("best")).unionByName(worst.withColumn("place", F.lit("worst")))
+
+
+@query("final_training")
+def final_training(spark, sf_dir):
+    """Balanced final forest: the report on the test years, as stored."""
+    train, test = split_ready(spark, sf_dir)
+    done = train_final(train, test, LABEL, features_of(train), KEYS, staging_path(spark, "final"))
+    return spark.read.schema(done.report.schema).json(done.metrics_path)
 
 
 @query("model_save_load")
@@ -185,7 +210,7 @@ FOREST = {"num_trees": TREES, "max_depth": 10}
 def cross_validate(spark, sf_dir):
     """Weighted forests over expanding folds of the training years."""
     df, _ = split_ready(spark, sf_dir)
-    pairs = models.cross_validate_forests(df, ORDER, LABEL, features_of(df), [Forest(**FOREST)], weighted=True)
+    pairs = models.cross_validate_trees(df, ORDER, LABEL, features_of(df), [Forest(**FOREST)], weighted=True)
     return fold_accuracy(pairs)
 
 
@@ -198,7 +223,7 @@ def fold_accuracy(pairs):
 def cross_validate_smote(spark, sf_dir):
     """Forests on folds whose training part SMOTE has grown, with their full reports."""
     df, _ = split_ready(spark, sf_dir)
-    pairs = models.cross_validate_forests(
+    pairs = models.cross_validate_trees(
         df, ORDER, LABEL, features_of(df), [Forest(**FOREST)], weighted=True, balance=True
     )
     return report.report_of_counts(pairs, ["fold"])
@@ -219,12 +244,22 @@ FOREST_GRID = {
     "min_leaf": [1, 2, 4],
     "features": ["sqrt", "log2"],
 }
+# The search space of boosted trees
+BOOST_SPACE = {
+    "rounds": (200, 1200),
+    "max_depth": (3, 15),
+    "rate": (0.01, 0.31),
+    "subsample": (0.6, 1.0),
+    "features": (0.6, 1.0),
+    "min_child_weight": (1, 10),
+    "gamma": (0.0, 5.0),
+}
 SEARCH_SETTINGS, SEARCH_FOLDS = 50, 5
 
 
-def searched(spark, sf_dir, **options):
+def searched(spark, sf_dir, space=FOREST_SPACE, **options):
     df, _ = split_ready(spark, sf_dir)
-    settings = models.sample_settings(FOREST_SPACE, SEARCH_SETTINGS)
+    settings = models.sample_settings(space, SEARCH_SETTINGS)
     return models.random_search(df, ORDER, LABEL, features_of(df), settings, SEARCH_FOLDS, **options)
 
 
@@ -241,6 +276,12 @@ def random_search_smote(spark, sf_dir):
     return searched(spark, sf_dir, weighted=True, balance=True)[0]
 
 
+@query("boost_search")
+def boost_search(spark, sf_dir):
+    """Settings of boosted trees with class weights: every score of every fold."""
+    return searched(spark, sf_dir, BOOST_SPACE, weighted=True, kind=Boosting)[0]
+
+
 @query("param_grid")
 def param_grid(spark, sf_dir):
     """Every setting of the grid, with the accuracy of its forest on the test years."""
@@ -265,7 +306,7 @@ def compare_models(spark, sf_dir):
         "entity",
         ratio=0.8,
         num_trees=TREES,
-        max_iter=BOOST_ITERATIONS,
+        rounds=BOOST_ROUNDS,
     )
 
 
@@ -302,6 +343,70 @@ def rf_predict_facts(spark, sf_dir):
     return scored_facts(spark, sf_dir, rf_predict(spark, sf_dir))
 
 
+WINDOWS_SQL = f"""WITH w AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY date) AS place FROM ({basic.READY}))
+    SELECT count(*) AS rows, count(DISTINCT entity) AS entities, min(CAST(date AS VARCHAR)) AS first, max(CAST(date AS VARCHAR)) AS last,
+    CAST(0 AS BIGINT) AS unknown FROM w WHERE place > 12 AND year BETWEEN {YEARS['test']}"""
+
+
+@query("sequence_classify_facts", WINDOWS_SQL)
+def sequence_classify_facts(spark, sf_dir):
+    return scored_facts(spark, sf_dir, sequence_classify(spark, sf_dir))
+
+
+REPORT_SQL = f"SELECT {LABEL} AS label, count(*) AS support FROM {ready_sql('test')} WHERE {LABEL} IS NOT NULL GROUP BY ALL"
+
+
+def report_facts(reported):
+    """Rows of each true class in a report."""
+    summaries = [report.ACCURACY, report.MACRO, report.WEIGHTED]
+    return reported.where(~F.col("label").isin(summaries) & (F.col("support") > 0)).select("label", "support")
+
+
+@query("boost_train_facts", REPORT_SQL)
+def boost_train_facts(spark, sf_dir):
+    return report_facts(boost_train(spark, sf_dir))
+
+
+@query("boost_smote_facts", REPORT_SQL)
+def boost_smote_facts(spark, sf_dir):
+    return report_facts(boost_smote(spark, sf_dir))
+
+
+@query("rf_smote_weighted_facts", REPORT_SQL)
+def rf_smote_weighted_facts(spark, sf_dir):
+    return report_facts(rf_smote_weighted(spark, sf_dir))
+
+
+@query(
+    "final_training_facts",
+    f"""SELECT count(*) AS rows, CAST(0 AS BIGINT) AS changed, CAST(1 AS BIGINT) AS same_order,
+    (SELECT count(*) FROM {ready_sql('test')} WHERE {LABEL} IS NOT NULL) AS reported FROM {ready_sql('test')}""",
+)
+def final_training_facts(spark, sf_dir):
+    """The stored model scores as the trained one, on the features in the same order; the stored report has every row."""
+    train, test = split_ready(spark, sf_dir)
+    path = staging_path(spark, "final")
+    done = train_final(train, test, LABEL, features_of(train), KEYS, path)
+    stored = load_final(spark, path)
+    both = stored.predict(done.model.predict(test, "before"), "after")
+    metrics = spark.read.schema(done.report.schema).json(done.metrics_path).where(F.col("label") == report.MACRO)
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("changed"),
+        F.lit(int(stored.features == features_of(train))).cast("long").alias("same_order"),
+        F.lit(metrics.first().support).alias("reported"),
+    )
+
+
+@query("compare_models_facts", f"SELECT CAST(3 AS BIGINT) AS models, CAST(0 AS BIGINT) AS missing")
+def compare_models_facts(spark, sf_dir):
+    """Every compared row has a prediction of each model."""
+    compared = compare_models(spark, sf_dir)
+    predictions = [c for c in compared.columns if c.endswith("_pred")]
+    missing = sum((F.col(c).isNull().cast("long") for c in predictions), F.lit(0))
+    return compared.agg(F.lit(len(predictions)).cast("long").alias("models"), F.sum(missing).alias("missing"))
+
+
 @query("boost_predict_facts", SCORED_SQL)
 def boost_predict_facts(spark, sf_dir):
     return scored_facts(spark, sf_dir, boost_predict(spark, sf_dir))
@@ -336,17 +441,26 @@ def cross_validate_facts(spark, sf_dir):
     return folds.agg(F.count_if(F.col("role") == "train").alias("train"), F.count_if(F.col("role") == "test").alias("test"))
 
 
-@query(
-    "random_search_facts",
-    f"""SELECT CAST(fold AS INTEGER) AS fold, {SEARCH_SETTINGS} AS settings, {SEARCH_SETTINGS} AS scored FROM (SELECT unnest(range(1, {SEARCH_FOLDS + 1})) AS fold)""",
-)
-def random_search_facts(spark, sf_dir):
+SEARCH_SQL = f"""SELECT CAST(fold AS INTEGER) AS fold, {SEARCH_SETTINGS} AS settings, {SEARCH_SETTINGS} AS scored
+    FROM (SELECT unnest(range(1, {SEARCH_FOLDS + 1})) AS fold)"""
+
+
+def search_facts(scores):
     """Settings scored on each fold, and scores between 0 and 1."""
-    scores, _, _ = searched(spark, sf_dir, refit=False)
     between = F.count_if(F.col("f1_macro").between(0, 1)).cast("int")
     return scores.groupBy("fold").agg(F.count_distinct("setting").cast("int").alias("settings"), between.alias("scored"))
 
 
+@query("random_search_facts", SEARCH_SQL)
+def random_search_facts(spark, sf_dir):
+    return search_facts(searched(spark, sf_dir, refit=False)[0])
+
+
+@query("boost_search_facts", SEARCH_SQL)
+def boost_search_facts(spark, sf_dir):
+    return search_facts(searched(spark, sf_dir, BOOST_SPACE, weighted=True, kind=Boosting, refit=False)[0])
+
+
 @query(
     "param_grid_facts",
     f"SELECT CAST(162 AS BIGINT) AS settings, CAST(162 AS BIGINT) AS scored, (SELECT count(*) FROM {ready_sql('test')}) AS rows",

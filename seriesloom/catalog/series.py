@@ -6,13 +6,13 @@ bound (one event type may hold any share of the rows): chunked series.
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..operators import indices, windows
 from ..operators.series import Series, chunked
 from . import sql
 from .inputs import EVENTS, MEASURES, MONTHS, dated_panel, panel, round_columns, table
-from .registry import query
+from .registry import SQL, query
 
 P = f"WITH {sql.PANEL}"
 KEYS = "entity, year, month"
@@ -234,6 +234,25 @@ def group_apply(spark, sf_dir):
     return windows.group_apply(df, "entity", half, "entity string, half_date date", 100_000)
 
 
+@query("group_stream", SQL["group_apply"])
+def group_stream(spark, sf_dir):
+    """The same month, found batch by batch with the sum so far as state."""
+    total = F.sum("dry").over(Window.partitionBy("entity"))
+    df = dated_panel(spark, sf_dir).where("dry IS NOT NULL").select("entity", "date", "dry", total.alias("total"))
+
+    def step(state, pdf):
+        so_far, done = state
+        sums = so_far + pdf["dry"].cumsum()
+        found = None
+        if not done:
+            reached = pdf[sums >= pdf["total"] / 2]
+            if len(reached):
+                found, done = reached[["entity", "date"]].head(1).rename(columns={"date": "half_date"}), True
+        return (sums.iloc[-1], done), found
+
+    return windows.group_stream(df, "entity", "date", lambda key: (0.0, False), step, "entity string, half_date date")
+
+
 # Single events
 
 

@@ -3,20 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .columns import map_values
+from .neighbor_tree import near_in_class
 from .neighbors import nearest_in_class
 from .ordering import ordered_index
 from .series import names
 
-# about the root of the class size
-MIN_PIVOTS, MAX_PIVOTS = 16, 1000
-PROBES = 8
-
-
 def class_weights(df: DataFrame, label: str, output: str = "weight") -> DataFrame:
     """One row per class: its count and ``n / (classes * count)``."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
@@ -47,17 +42,17 @@ def smote(
     row_key: str | Sequence[str],
     k: int = 5,
     seed: int = 42,
-    probes: int | None = PROBES,
+    exact: bool = False,
     **search,
 ) -> DataFrame:
     """Grow every class to the size of the largest by interpolated rows.
 
     A synthetic row starts at a random row of its class and goes a random part
-    of the way to one of ``k`` near rows of the class: found in its own block and one
-    block each of the ``probes`` nearest cells, so the cost grows with the rows alone;
-    the exact nearest with ``probes=None``. A row for which fewer are found shares
+    of the way to one of ``k`` near rows of the class: those that the leaves of a
+    pivot tree show (``near_in_class``; its cost grows with the rows alone), or the
+    nearest of all with ``exact``. A row for which fewer are found shares
     them out, and without any stands for itself. ``row_key`` tells
-    rows apart. Result: features as doubles, the label, and ``synthetic``; the
+    rows apart; ``search`` goes to the search. Result: features as doubles, the label, and ``synthetic``; the
     original rows come first in the union and are kept as they are. Choices
     depend on ``seed`` and the data alone.
     """
@@ -93,9 +88,7 @@ def smote(
     rows = members.join(picked, "id", "left").withColumn(
         "is_query", F.coalesce("is_query", F.lit(False))
     )
-    largest = max(counts[c] for c in small)
-    search.setdefault("pivots_per_class", min(MAX_PIVOTS, max(MIN_PIVOTS, isqrt(largest))))
-    near = nearest_in_class(rows, k, seed=seed, probes=probes, **search)
+    near = (nearest_in_class if exact else near_in_class)(rows, k, seed=seed, **search)
     near = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("nth", "nid"))).alias("near"))
     start = members.select("id", "cls", F.col("vec").alias("from_vec"))
     end = members.select(F.col("id").alias("nid"), F.col("vec").alias("to_vec"))

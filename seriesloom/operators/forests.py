@@ -22,6 +22,7 @@ n / (classes * its rows), of the rows its fold trains on.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
@@ -29,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.staging import stage
 from .trees import LEAST_GAIN, MAX_BINS, ROOT, Forest, Nodes, Votes, best_of_feature, grow, grow_trees, may_split, purity, taken, usable_features
@@ -41,6 +42,7 @@ UNIT_TREES = 25  # of one forest that a task grows
 MODEL_BYTES = 64 << 20  # of nodes that score a table in one pass
 QUANTILE_ACCURACY = 2000
 HIST_ROWS = 256  # partial histograms summed at a time
+HIST_BYTES = 128 << 20  # of histograms that a task makes in one pass
 NODE = "tree int, path long, feature int, bin int, counts array<double>"
 
 
@@ -208,8 +210,12 @@ def _winner(votes: np.ndarray) -> np.ndarray:
 
 def _confusion(unit: Unit, train: Block, test: Block, weights: np.ndarray, n_bins: int) -> pa.RecordBatch:
     _, votes = grow_trees(train.bins, train.y, train.rows, unit.trees(), unit.forest, weights, n_bins, test.bins)
-    pairs = np.zeros((len(weights), len(weights)), np.int64)
-    np.add.at(pairs, (test.y, _winner(votes)), 1)
+    return _pair_counts(unit, test.y, votes, len(weights))
+
+
+def _pair_counts(unit: Unit, truth: np.ndarray, votes: np.ndarray, classes: int) -> pa.RecordBatch:
+    pairs = np.zeros((classes, classes), np.int64)
+    np.add.at(pairs, (truth, _winner(votes)), 1)
     truth, prediction = np.nonzero(pairs)
     return pa.RecordBatch.from_arrays(
         [pa.array([unit.number] * len(truth), pa.int32()), pa.array(truth, pa.int32()), pa.array(prediction, pa.int32()), pa.array(pairs[truth, prediction], pa.int64())],
@@ -289,8 +295,10 @@ def _split_upper(table: Binned, unit: Unit, weights: np.ndarray, local_rows: int
     leaves: set[int] = set()
     small: set[int] = set()
     open_nodes = list(range(len(trees)))
+    step = max(1, HIST_BYTES // (8 * unit.forest.per_node(len(table.features)) * _n_bins(table) * len(weights)))
     while open_nodes:
-        splits = {(r.tree, r.path): r for r in _best_splits(table, unit, weights, upper, open_nodes).collect()}
+        passes = [open_nodes[i : i + step] for i in range(0, len(open_nodes), step)]
+        splits = {(r.tree, r.path): r for some in passes for r in _best_splits(table, unit, weights, upper, some).collect()}
         following = []
         for i in open_nodes:
             r = splits.get((upper.tree[i], upper.path[i]))  # none for a tree that takes no row
@@ -490,12 +498,33 @@ class ForestModel:
     """Nodes of a forest as a table, and what is needed to score rows by it."""
 
     nodes: DataFrame
-    forest: Forest
+    forest: Forest | None
     features: list[str]
     edges: list[np.ndarray]
     labels: list
     weights: np.ndarray
 
+    def shares(self, counts: np.ndarray) -> np.ndarray:
+        """What a leaf adds to the votes of a row that reaches it, per class."""
+        weighted = counts * self.weights
+        return weighted / np.maximum(weighted.sum(axis=1, keepdims=True), 1e-300)
+
+    def save(self, path: str) -> str:
+        """Write nodes, feature order, bins and labels below ``path``."""
+        about = {"kind": type(self).__name__, "features": self.features, "edges": [e.tolist() for e in self.edges], "labels": self.labels, "weights": self.weights.tolist()}
+        self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
+        self.nodes.sparkSession.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").parquet(f"{path}/about")
+        return path
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> ForestModel:
+        """A stored model; one of boosted trees is read by ``BoostModel``."""
+        about = json.loads(spark.read.parquet(f"{path}/about").first().about)
+        if about["kind"] != cls.__name__:
+            raise ValueError(f"{path} holds a {about['kind']}")
+        edges = [np.array(e, float) for e in about["edges"]]
+        return cls(spark.read.schema(NODE).parquet(f"{path}/nodes"), None, about["features"], edges, about["labels"], np.array(about["weights"]))
+
     def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
         """``df`` with the label of most votes; trees are brought to the rows, as many at a time as MODEL_BYTES holds."""
         sizes = {r.tree: r.n for r in self.nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -513,7 +542,7 @@ class ForestModel:
         edges, features = self.edges, self.features
         for group in groups:
             found = self.nodes.where(F.col("tree").isin(group)).toPandas().sort_values(["tree", "path"])
-            shared = spark.sparkContext.broadcast(_arrays(found, self.weights))
+            shared = spark.sparkContext.broadcast(_arrays(found, self.shares(np.array(found["counts"].tolist(), float).reshape(-1, len(self.labels)))))
             schema = out.schema
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -533,14 +562,12 @@ class ForestModel:
         return out.select(*[F.col(f"`{c}`") for c in kept], label.alias(output))
 
 
-def _arrays(nodes: pd.DataFrame, weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Roots, feature, bin, left child and class shares of the nodes, which come by tree and path."""
+def _arrays(nodes: pd.DataFrame, shares: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Roots, feature, bin, children and shares of the nodes, which come by tree and path."""
     place = {key: i for i, key in enumerate(zip(nodes["tree"], nodes["path"]))}
     left = np.array([place[t, 2 * p] if f >= 0 else -1 for t, p, f in zip(nodes["tree"], nodes["path"], nodes["feature"])])
     right = np.array([place[t, 2 * p + 1] if f >= 0 else -1 for t, p, f in zip(nodes["tree"], nodes["path"], nodes["feature"])])
     roots = np.flatnonzero(nodes["path"].to_numpy() == ROOT)
-    shares = np.array(nodes["counts"].tolist(), float) * weights
-    shares /= np.maximum(shares.sum(axis=1, keepdims=True), 1e-300)
     return roots, nodes["feature"].to_numpy(), nodes["bin"].to_numpy(), left, right, shares
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from ..functions.special import gamma_cdf, gamma_shape, norm_ppf
-from .series import Series, match, names
+from .series import Series, carried, names
 from .windows import rolling_sum
 
 # Offset of the rolled sums, class limits and labels.
@@ -53,7 +53,7 @@ def standardised_indices(
         same = {f"_sum_{n}": f"_x_{n}" for n, (_, k) in indices.items() if k == scale}
         rolled = rolling_sum(rolled, series, same, scale)
     rolled = rolled.withColumns({f"_sum_{n}": F.col(f"_sum_{n}") + OFFSET for n in indices})
-    fit = _fit_in_windows if series.chunk is None else _fit_by_join
+    fit = _fit_in_windows if series.chunk is None else _fit_by_pieces
     fitted = fit(rolled, series, {name: k for name, (_, k) in indices.items()})
     probabilities = {
         f"_p_{name}": gamma_cdf(
@@ -86,26 +86,38 @@ def _fit_in_windows(rolled: DataFrame, series: Series, scales: dict[str, int]) -
     return rolled.withColumns(stats).withColumns(first).withColumns(spread)
 
 
-def _fit_by_join(rolled: DataFrame, series: Series, scales: dict[str, int]) -> DataFrame:
-    entity = list(series.entity)
-    stats = []
+def _fit_by_pieces(rolled: DataFrame, series: Series, scales: dict[str, int]) -> DataFrame:
+    """Fit entities inside one chunk by windows, the others from one row of sums per chunk."""
+    summary = {}
     for name in scales:
         positive = F.when(F.col(f"_sum_{name}") > 0, F.col(f"_sum_{name}"))
-        stats += [
-            F.count(positive).alias(f"_n_{name}"),
-            F.avg(positive).alias(f"_mean_{name}"),
-            F.avg(F.ln(positive)).alias(f"_ln_{name}"),
-        ]
-    fits = rolled.groupBy(*entity).agg(*stats)
-    shapes = {
-        f"_shape_{name}": F.when(
-            F.col(f"_n_{name}") >= k, gamma_shape(f"ln(`_mean_{name}`) - `_ln_{name}`")
-        )
-        for name, k in scales.items()
-    }
-    fits = fits.withColumns(shapes)
-    keep = [f"_{part}_{name}" for name in scales for part in ("mean", "shape")]
-    return match(rolled, fits.select(*entity, *keep), entity)
+        summary |= {f"_k_{name}": F.count(positive), f"_avg_{name}": F.avg(positive), f"_avg_ln_{name}": F.avg(F.ln(positive))}
+
+    def totals(order: WindowSpec) -> dict[str, Column]:
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        found = {}
+        for name in scales:
+            n = F.sum(f"_k_{name}").over(whole)
+            found[f"_all_{name}"] = n
+            for part in ("avg", "avg_ln"):
+                found[f"_whole_{part}_{name}"] = F.try_divide(F.sum(F.col(f"_k_{name}") * F.col(f"_{part}_{name}")).over(whole), n)
+        return found
+
+    def shapes(_: WindowSpec) -> dict[str, Column]:
+        return {
+            f"_whole_shape_{name}": F.when(F.col(f"_all_{name}") >= k, gamma_shape(f"ln(`_whole_avg_{name}`) - `_whole_avg_ln_{name}`"))
+            for name, k in scales.items()
+        }
+
+    keep = [f"_{part}_{name}" for name in scales for part in ("all", "whole_avg", "whole_shape")]
+    across = carried(rolled, series, summary, totals, shapes, keep=keep)
+    local = _fit_in_windows(across, series, scales)
+    chosen = {}
+    for name in scales:
+        crosses = F.col(f"_all_{name}").isNotNull()
+        chosen[f"_mean_{name}"] = F.when(crosses, F.col(f"_whole_avg_{name}")).otherwise(F.col(f"_mean_{name}"))
+        chosen[f"_shape_{name}"] = F.when(crosses, F.col(f"_whole_shape_{name}")).otherwise(F.col(f"_shape_{name}"))
+    return local.withColumns(chosen)
 
 
 def spi(df: DataFrame, series: Series, precipitation: str, k: int, output: str) -> DataFrame:

@@ -30,7 +30,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..sources.staging import stage
 from .balance import smote, with_class_weights
 from .columns import align_to_schema
-from .forests import Binned, ForestModel, bin_table, edges_of, cross_validate as cross_validate_table, train as train_forest
+from . import boosting, forests
+from .boosting import Boosting
+from .forests import Binned, ForestModel, bin_table, edges_of
 from .report import accuracy, class_scores, classification_report
 from .split import BLOCK, fold, fold_blocks
 from .trees import Forest
@@ -144,14 +146,15 @@ def load_model(path: str) -> PipelineModel:
 
 
 def score_batch(
-    model: PipelineModel | str, df: DataFrame, keep: Sequence[str], output: str = "prediction"
+    model: PipelineModel | ForestModel | str, df: DataFrame, keep: Sequence[str], output: str = "prediction"
 ) -> DataFrame:
     """Bring a table to the model's columns (absent ones 0) and score all of it."""
     if isinstance(model, str):
         model = load_model(model)
-    order = feature_order(model)
+    own = isinstance(model, ForestModel)
+    order = model.features if own else feature_order(model)
     aligned = align_to_schema(df, [*keep, *[c for c in order if c not in keep]])
-    return predict(model, aligned, output).select(*keep, output)
+    return (model.predict(aligned, output) if own else predict(model, aligned, output)).select(*keep, output)
 
 
 def sequence_classifier(
@@ -285,12 +288,22 @@ def fold_table(
     return bin_table(rows, features, label, F.col(BLOCK), F.col(ONLY), edges=edges)
 
 
-def cross_validate_forests(
+def trainer(setting: Forest | Boosting):
+    """The module that trains such settings."""
+    return boosting if isinstance(setting, Boosting) else forests
+
+
+def train_trees(df: DataFrame, label: str, features: Sequence[str], setting: Forest | Boosting, weighted: bool = False) -> ForestModel:
+    """One forest or boosted model on a whole table."""
+    return trainer(setting).train(bin_table(df, features, label), setting, weighted)
+
+
+def cross_validate_trees(
     df: DataFrame,
     order: Sequence[str],
     label: str,
     features: Sequence[str],
-    forests: Sequence[Forest],
+    settings: Sequence[Forest | Boosting],
     n_splits: int = 5,
     weighted: bool = False,
     balance: bool = False,
@@ -298,7 +311,7 @@ def cross_validate_forests(
 ) -> DataFrame:
     """Rows per setting, fold, truth and prediction, from which any report follows."""
     table = fold_table(df, order, label, features, n_splits, balance, **smote_params)
-    return cross_validate_table(table, forests, range(1, n_splits + 1), weighted)
+    return trainer(settings[0]).cross_validate(table, settings, range(1, n_splits + 1), weighted)
 
 
 def random_search(
@@ -311,17 +324,18 @@ def random_search(
     weighted: bool = False,
     balance: bool = False,
     refit: bool = True,
+    kind: type = Forest,
     **smote_params,
 ) -> tuple[DataFrame, dict[str, Any], ForestModel | None]:
-    """Score forests by mean macro F1 over expanding folds; refit the best.
+    """Score forests or boosted trees by mean macro F1 over expanding folds; refit the best.
 
-    Settings are those of ``Forest``. Returns a row per setting and fold, the best
-    setting and its model. The table is binned once, and all forests on all folds
-    are grown in the same passes.
+    Settings are those of ``Forest`` or ``Boosting``, the ``kind``. Returns a row per setting
+    and fold, the best setting and its model. The table is binned once, and all
+    settings on all folds are trained in the same passes.
     """
-    forests = [Forest(**s) for s in settings]
+    tried = [kind(**s) for s in settings]
     table = fold_table(df, order, label, features, n_splits, balance, **smote_params)
-    counts = cross_validate_table(table, forests, range(1, n_splits + 1), weighted)
+    counts = trainer(tried[0]).cross_validate(table, tried, range(1, n_splits + 1), weighted)
     scores = class_scores(counts, ["setting", "fold"]).groupBy("setting", "fold").agg(F.avg("f1_score").alias("f1_macro"))
     params = F.element_at(F.array(*[F.lit(str(dict(s))) for s in settings]), F.col("setting") + 1)
     mean = F.avg("f1_macro").over(Window.partitionBy("setting"))
@@ -332,7 +346,5 @@ def random_search(
         return scored, best, None
     if balance:
         rows = smote(df, label, features, order, **smote_params).select(*features, label)
-        whole = bin_table(stage(rows, "balanced"), features, label, edges=table.edges)
-    else:
-        whole = table
-    return scored, best, train_forest(whole, forests[top.setting], weighted)
+        table = bin_table(stage(rows, "balanced"), features, label, edges=table.edges)
+    return scored, best, trainer(tried[0]).train(table, tried[top.setting], weighted)

@@ -1,11 +1,11 @@
-"""Nearest neighbours of the same class, exact or by a fixed number of probes.
+"""Exact nearest neighbours of the same class.
 
 Rows are grouped into cells around pivots, and large cells are split at random
 into blocks of bounded size. A row's distance to the blocks' pivots bounds how
 near a neighbour in them can be (triangle inequality), so most blocks are never
 looked at, and no pair leaves the task that found it unless it is among the
-best of its block. With ``probes`` a row looks at one block of each of its nearest
-cells only, so that the cost per row is the same however many rows there are.
+best of its block. In many dimensions with little structure that approaches all
+blocks; ``neighbor_tree`` bounds the cost.
 """
 
 from __future__ import annotations
@@ -86,14 +86,9 @@ def nearest_in_class(
     pivots_per_class: int = 128,
     block_rows: int = 1024,
     seed: int = 42,
-    probes: int | None = None,
 ) -> DataFrame:
     """The ``k`` nearest rows of the same class for every row with ``is_query``.
 
-    With ``probes`` a row is compared with its own block and with one block of at
-    most so many other cells, those of the nearest pivots: neighbours are then near,
-    not always the nearest, and can be fewer than ``k``.
-
     ``rows`` has ``id`` (bigint, unique), ``cls``, ``vec`` (array<double>) and
     ``is_query``. Result: ``id, nid, dist, nth`` with ``nth`` from 1; fewer than
     ``k`` rows where the class is smaller. Among equally distant rows at the
@@ -169,21 +164,6 @@ def nearest_in_class(
                 bound = np.fmin(part["bound"].to_numpy(dtype=float), by_cells)
                 limit = bound * (1 + SLACK) + SLACK
                 promising = to_pivot - radius < limit[:, None]
-                if probes is not None:
-                    others = np.where(cell[None, :] == part["cell"].to_numpy()[:, None], np.inf, to_pivot)
-                    rank = others.argsort(axis=1).argsort(axis=1)
-                    row, col = np.nonzero(promising & (rank < probes) & np.isfinite(others))
-                    asker = part.iloc[row]
-                    yield pd.DataFrame(
-                        {
-                            "id": asker["id"].to_numpy(),
-                            "cls": cls,
-                            "vec": asker["vec"].to_numpy(),
-                            "cell": cell[col],
-                            "salt": asker["salt"].to_numpy() % salts[col],
-                        }
-                    )
-                    continue
                 row, col = np.nonzero(promising)
                 ends = salts[col].cumsum()
                 # one request per block of each cell, in pieces of bounded size

@@ -11,6 +11,7 @@ from .series import names
 ACCURACY = "accuracy"
 MACRO = "macro avg"
 WEIGHTED = "weighted avg"
+MAX_PAIRS = 10_000  # of labels in a confusion matrix
 
 
 def agrees(truth: str, prediction: str) -> Column:
@@ -66,22 +67,23 @@ def confusion_matrix(
 ) -> DataFrame:
     """Long form: one row per pair of labels, zeros included.
 
-    Without ``labels`` these are the labels seen on either side. Their number is
-    squared in the result, so a column with very many values has no place here.
+    Without ``labels`` these are the labels seen on either side. The table is read
+    once. The labels' number is squared in the result, so more than MAX_PAIRS pairs
+    are an error.
     """
-    counts = pair_counts(df, truth, prediction)
-    sides = F.explode(F.array("truth", "pred")).alias("label")
+    few = pair_counts(df, truth, prediction).limit(MAX_PAIRS + 1)
+    whole = few.agg(F.collect_list(F.struct("truth", "pred", "n")).alias("pairs"))
+    too_many = F.raise_error(F.lit(f"more than {MAX_PAIRS} pairs of {truth} and {prediction}")).cast("boolean")
+    whole = whole.where(F.when(F.size("pairs") > MAX_PAIRS, too_many).otherwise(True))
     if labels is None:
-        all_labels = counts.select(sides).agg(F.array_sort(F.collect_set("label")).alias("labels"))
+        sides = F.concat(F.col("pairs.truth"), F.col("pairs.pred"))
+        all_labels = F.array_sort(F.array_distinct(F.filter(sides, lambda v: v.isNotNull())))
     else:
-        all_labels = df.sparkSession.range(1).select(
-            F.array(*[F.lit(v) for v in labels]).alias("labels")
-        )
-    rows = all_labels.select("labels", F.explode("labels").alias("truth"))
-    grid = rows.select("truth", F.explode("labels").alias("pred"))
-    return grid.join(counts, ["truth", "pred"], "left").select(
-        "truth", "pred", F.coalesce("n", F.lit(0)).alias("n")
-    )
+        all_labels = F.array(*[F.lit(v) for v in labels])
+    found = F.filter("pairs", lambda p: (p["truth"] == F.col("truth")) & (p["pred"] == F.col("pred")))
+    rows = whole.select("pairs", all_labels.alias("labels")).select("pairs", "labels", F.explode("labels").alias("truth"))
+    grid = rows.select("pairs", "truth", F.explode("labels").alias("pred"))
+    return grid.select("truth", "pred", F.coalesce(F.get(found, F.lit(0))["n"], F.lit(0)).alias("n"))
 
 
 def confusion_matrix_wide(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from pyspark.sql.types import NumericType
 
-from .series import ROWS, Series, carried, chunked, match, names, over_series
+from .series import ROWS, Series, carried, chunked, names, over_series
 
 
 def rolling_sum(df: DataFrame, series: Series, columns: Mapping[str, str], k: int) -> DataFrame:
@@ -188,15 +190,40 @@ def zscore_anomaly(df: DataFrame, series: Series, columns: Mapping[str, str]) ->
                 for out, c in columns.items()
             }
         )
-    stats = []
+    summary, local = {}, {}
     for out, c in columns.items():
-        stats += [F.avg(c).alias(f"_mean_{out}"), F.stddev_samp(c).alias(f"_std_{out}")]
-    joined = match(df, df.groupBy(*series.entity).agg(*stats), series.entity)
-    scores = {
-        out: F.try_divide(F.col(c) - F.col(f"_mean_{out}"), F.col(f"_std_{out}"))
-        for out, c in columns.items()
-    }
-    return joined.withColumns(scores).select(*df.columns, *columns)
+        summary |= {f"_n_{out}": F.count(c), f"_avg_{out}": F.avg(c), f"_m2_{out}": F.var_pop(c) * F.count(c)}
+        local |= {f"_mean_{out}": F.avg(c).over(series.group()), f"_std_{out}": F.stddev_samp(c).over(series.group())}
+
+    def means(order: WindowSpec) -> dict[str, Column]:
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        found = {}
+        for out in columns:
+            found[f"_all_{out}"] = F.sum(f"_n_{out}").over(whole)
+            total = F.sum(F.col(f"_n_{out}") * F.col(f"_avg_{out}")).over(whole)
+            found[f"_whole_mean_{out}"] = F.try_divide(total, F.sum(f"_n_{out}").over(whole))
+        return found
+
+    def deviations(order: WindowSpec) -> dict[str, Column]:
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        found = {}
+        for out in columns:
+            off = F.col(f"_avg_{out}") - F.col(f"_whole_mean_{out}")
+            squares = F.sum(F.col(f"_m2_{out}") + F.col(f"_n_{out}") * off * off).over(whole)
+            found[f"_whole_std_{out}"] = F.sqrt(F.try_divide(squares, F.col(f"_all_{out}") - 1))
+        return found
+
+    keep = [f"_{part}_{out}" for out in columns for part in ("all", "whole_mean", "whole_std")]
+    found = carried(df, series, summary, means, deviations, keep=keep).withColumns(local)
+    scores = {}
+    for out, c in columns.items():
+        # the count is there for entities in several chunks only
+        mean, std = (
+            F.when(F.col(f"_all_{out}").isNotNull(), F.col(f"_whole_{part}_{out}")).otherwise(F.col(f"_{part}_{out}"))
+            for part in ("mean", "std")
+        )
+        scores[out] = F.try_divide(F.col(c) - mean, std)
+    return found.withColumns(scores).select(*df.columns, *columns)
 
 
 def percentile_of_score(df: DataFrame, series: Series, columns: Mapping[str, str]) -> DataFrame:
@@ -206,7 +233,7 @@ def percentile_of_score(df: DataFrame, series: Series, columns: Mapping[str, str
     """
     if series.chunk is not None:
         for out, c in columns.items():
-            df = _percentile_by_counts(df, series, c, out)
+            df = _percentile_by_ranges(df, series, c, out)
         return df
     group = series.group()
     scores = {}
@@ -218,35 +245,59 @@ def percentile_of_score(df: DataFrame, series: Series, columns: Mapping[str, str
     return df.withColumns(scores)
 
 
-def _percentile_by_counts(df: DataFrame, series: Series, column: str, output: str) -> DataFrame:
-    """The same from the count of each distinct value, so that neither a large
-    entity nor a frequent value meets in one task."""
-    value = "_value"
-    counts = (
-        df.where(F.col(column).isNotNull())
-        .groupBy(*series.entity, F.col(column).alias(value))
-        .agg(F.count(F.lit(1)).alias("_n"))
+def _percentile_by_ranges(df: DataFrame, series: Series, column: str, output: str) -> DataFrame:
+    """The same by one sweep over the rows sorted by entity and value, cut into even ranges.
+
+    A row is ranked in its range. What earlier ranges of its entity hold, and how many
+    rows equal to the range's least (largest) value lie in the ranges before
+    (after) it, comes from one row per range. Neither a large entity nor a
+    frequent value meets in one task, and the rows are not joined with a table of values.
+    """
+    moved = df.withColumnRenamed(series.chunk, "_own_chunk")
+    order = [c for c in series.order if c != column]
+    ranged, by_value = chunked(moved, Series(series.entity, (column, *order)))
+    value = by_value.group().orderBy(F.col(column).asc_nulls_last())
+    ranked = ranged.withColumns(
+        {
+            "_below": F.rank().over(value) - 1,
+            "_equal": F.count(column).over(value.rangeBetween(Window.currentRow, Window.currentRow)),
+            "_held": F.count(column).over(by_value.group()),
+        }
     )
-    counts, by_value = chunked(counts, Series(series.entity, (value,)))
-    earlier_rows = by_value.window().rowsBetween(Window.unboundedPreceding, -1)
+    last = F.col("_below") + F.col("_equal") == F.col("_held")
+    summary = {
+        ROWS: F.count(column),
+        "_min": F.min(column),
+        "_max": F.max(column),
+        "_n_min": F.max(F.when((F.col("_below") == 0) & F.col(column).isNotNull(), F.col("_equal"))),
+        "_n_max": F.max(F.when(last & F.col(column).isNotNull(), F.col("_equal"))),
+    }
 
     def across(order: WindowSpec) -> dict[str, Column]:
-        earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-        everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        up_to_here = Window.partitionBy(*series.entity, "_max").orderBy(by_value.chunk).rowsBetween(Window.unboundedPreceding, 0)
+        from_here = Window.partitionBy(*series.entity, "_min").orderBy(F.col(by_value.chunk).desc()).rowsBetween(Window.unboundedPreceding, 0)
         return {
-            "_carry": F.coalesce(F.sum(ROWS).over(earlier), F.lit(0)),
-            "_total": F.sum(ROWS).over(everything),
+            "_carry": F.coalesce(F.sum(ROWS).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "_total": F.sum(ROWS).over(whole),
+            "_run_max": F.sum("_n_max").over(up_to_here),
+            "_run_min": F.sum("_n_min").over(from_here),
         }
 
-    placed = carried(counts, by_value, {ROWS: F.sum("_n")}, across, keep=["_carry", "_total"])
-    local_below = F.coalesce(F.sum("_n").over(earlier_rows), F.lit(0))
-    below = local_below + F.coalesce(F.col("_carry"), F.lit(0))
-    total = F.coalesce(F.col("_total"), F.sum("_n").over(by_value.group()))
-    score = (2 * below + F.col("_n") + 1) * 50.0 / total
-    scores = placed.select(
-        *series.entity, F.col(value).alias(column), score.alias(output)
-    )
-    return match(df, scores, [*series.entity, column]).select(*df.columns, output)
+    def runs(order: WindowSpec) -> dict[str, Column]:
+        return {
+            "_earlier": F.when(F.lag("_max").over(order) == F.col("_min"), F.lag("_run_max").over(order)).otherwise(0),
+            "_later": F.when(F.lead("_min").over(order) == F.col("_max"), F.lead("_run_min").over(order)).otherwise(0),
+        }
+
+    placed = carried(ranked, by_value, summary, across, runs, keep=["_carry", "_total", "_min", "_max", "_earlier", "_later"])
+    earlier = F.when(F.col(column) == F.col("_min"), F.col("_earlier")).otherwise(0)
+    later = F.when(F.col(column) == F.col("_max"), F.col("_later")).otherwise(0)
+    below = F.col("_below") + F.coalesce("_carry", F.lit(0)) - earlier
+    equal = F.col("_equal") + earlier + later
+    score = F.try_divide((2 * below + equal + 1) * 50.0, F.coalesce("_total", "_held"))
+    found = placed.withColumn(output, F.when(F.col(column).isNotNull(), score))
+    return found.drop(series.chunk).withColumnRenamed("_own_chunk", series.chunk).select(*df.columns, output)
 
 
 def group_apply(
@@ -263,3 +314,45 @@ def group_apply(
     if largest > max_rows:
         raise ValueError(f"a group has {largest} rows, more than max_rows={max_rows}")
     return df.groupBy(*entity).applyInPandas(fn, schema)
+
+
+def group_stream(
+    df: DataFrame,
+    entity: str | Sequence[str],
+    order: str | Sequence[str],
+    start: Callable[[tuple], Any],
+    step: Callable[[Any, pd.DataFrame], tuple[Any, pd.DataFrame | None]],
+    schema: str,
+    finish: Callable[[tuple, Any], pd.DataFrame | None] | None = None,
+) -> DataFrame:
+    """Run ``step`` over each entity's rows in order, a batch at a time, with a state carried along.
+
+    ``start`` makes the state of an entity from its key, ``step`` takes state and rows and
+    gives the next state and rows of the result, ``finish`` what the last state
+    adds. An entity's rows pass through one task, sorted by Spark (which spills), but never
+    lie in memory together: no entity is too large. Null keys are an entity.
+    """
+    entity = names(entity)
+    rows = df.repartition(*entity).sortWithinPartitions(*entity, *names(order))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, open_ = None, None, False
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            groups = pdf.groupby(list(entity), sort=False, dropna=False).ngroup().to_numpy()
+            edges = [0, *(i for i in range(1, len(groups)) if groups[i] != groups[i - 1]), len(groups)]
+            for a, b in zip(edges, edges[1:]):
+                part = pdf.iloc[a:b]
+                own = tuple(None if pd.isna(v) else v for v in part.iloc[0][list(entity)])
+                if not open_ or own != key:
+                    if open_ and finish is not None and (out := finish(key, state)) is not None:
+                        yield out
+                    key, state, open_ = own, start(own), True
+                state, out = step(state, part)
+                if out is not None and len(out):
+                    yield out
+        if open_ and finish is not None and (out := finish(key, state)) is not None:
+            yield out
+
+    return rows.mapInPandas(run, schema)

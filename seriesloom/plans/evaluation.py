@@ -6,15 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators.encode import categories
+from ..operators import sequence_model
+from ..operators.boosting import Boosting
 from ..operators.merge import align_predictions, melt, union_by_name
 from ..operators.models import (
-    boosted_trees,
     fit,
     predict,
     random_forest,
-    sequence_classifier,
-    with_window_vector,
+    train_trees,
 )
 from ..operators.report import multi_model_metrics
 from ..operators.series import Series
@@ -33,7 +32,7 @@ def compare_models(
     ratio: float = 0.8,
     length: int = 12,
     num_trees: int = 100,
-    max_iter: int = 20,
+    rounds: int = 100,
 ) -> DataFrame:
     """Three models trained on the first part and compared on the rest.
 
@@ -45,32 +44,19 @@ def compare_models(
     series = Series.of(entity, date)
 
     def windows(part: DataFrame) -> DataFrame:
-        found = sequence_windows(part, series, sequence_features, length)
-        return stage(with_window_vector(found), "windows")
+        return stage(sequence_windows(part, series, sequence_features, length), "windows")
 
     forest = fit(random_forest(features, label, num_trees), train, label)
-    boost = fit(boosted_trees(features, label, max_iter, weighted=True), train, label)
-    early = windows(train)
-    network = fit(
-        sequence_classifier(
-            length,
-            len(sequence_features),
-            entity,
-            early.select(entity).distinct().count(),
-            len(categories(train, label)),
-            label,
-        ),
-        early,
-        label,
-    )
+    boost = train_trees(train, label, features, Boosting(rounds), weighted=True)
+    network = sequence_model.train(windows(train), entity, label)
     late = windows(test)
     truth = late.select(*keys, F.col(label).alias("true_label"))
     return align_predictions(
         truth,
         {
-            "lstm_pred": predict(network, late),
+            "lstm_pred": network.predict(late),
             "rf_pred": predict(forest, test),
-            "xgb_pred": predict(boost, test),
+            "xgb_pred": boost.predict(test),
         },
         keys,
     )

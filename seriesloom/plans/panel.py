@@ -32,6 +32,7 @@ from ..operators.windows import (
     rolling_mean,
     zscore_anomaly,
 )
+from ..sources.tables import counted
 
 INDEX_COLUMNS = ("spi_3", "spi_6", "spei_3", "spei_6", "drought_class")
 FUTURE = "future_drought_class"
@@ -57,20 +58,26 @@ class Roles:
 
 
 def merge_panel(
-    periods: Sequence[Mapping[str, DataFrame]], entity: str = "entity", how: str = "join"
+    periods: Sequence[Mapping[str, DataFrame]],
+    entity: str = "entity",
+    how: str = "join",
+    counts: dict | None = None,
 ) -> DataFrame:
     """One row per entity and month from several variables in several periods.
 
     Each period is merged by itself, the periods are stacked, and gaps are then
-    filled along each entity's months. ``how`` as in ``outer_merge_many``.
+    filled along each entity's months. ``how`` as in ``outer_merge_many``. With a dict
+    for ``counts`` the rows of every source, merged period and the panel are counted
+    while the panel is computed.
     """
     keys = (entity, "year", "month")
+    noted = (lambda df, name: df) if counts is None else (lambda df, name: counted(df, name, counts))
     merged = []
-    for sources in periods:
-        cleaned = [normalize_key(split_date(s), entity) for s in sources.values()]
-        merged.append(outer_merge_many(cleaned, keys, how))
+    for i, sources in enumerate(periods, 1):
+        cleaned = [normalize_key(split_date(noted(s, f"period {i} {name}")), entity) for name, s in sources.items()]
+        merged.append(noted(outer_merge_many(cleaned, keys, how), f"period {i}"))
     panel = union_by_name(merged)
-    return interpolate_linear(panel, Series.of(entity, ("year", "month")))
+    return noted(interpolate_linear(panel, Series.of(entity, ("year", "month"))), "panel")
 
 
 def build_features(panel: DataFrame, roles: Roles, horizon: int = 3) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Hashable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
 
@@ -59,3 +60,18 @@ def write_metrics_json(metrics: DataFrame, path: str) -> str:
 def row_count(df: DataFrame) -> DataFrame:
     """Rows and columns of a table, as one row."""
     return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("columns", F.lit(len(df.columns)))
+
+
+def counted(df: DataFrame, name: str, counts: dict[str, Observation]) -> DataFrame:
+    """The table, whose rows are counted by whatever action runs over it first.
+
+    No job of its own: the number is in ``counts`` under ``name`` once the rows have been
+    written or collected (``row_counts``).
+    """
+    counts[name] = Observation(f"{name} {uuid.uuid4().hex}")
+    return df.observe(counts[name], F.count(F.lit(1)).alias("rows"))
+
+
+def row_counts(spark: SparkSession, counts: Mapping[str, Observation]) -> DataFrame:
+    """stage and rows of every counted table; waits for the action that counts them."""
+    return spark.createDataFrame([(name, seen.get["rows"]) for name, seen in counts.items()], "stage string, rows long")

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesloom.operators.balance import class_weights, smote, with_class_weights
+from seriesloom.operators import neighbor_tree
+from seriesloom.operators.neighbor_tree import near_in_class
 from seriesloom.operators.neighbors import nearest_in_class
 
 
@@ -50,7 +52,7 @@ def test_smote_balances_and_stays_between_parents(spark):
     rows = [(i, "a" if i % 6 else "b", rng.random(), rng.random() * 3) for i in range(120)]
     rows += [(1000 + i, "c", 9.0, rng.random()) for i in range(4)]
     df = spark.createDataFrame(rows, "key int, y string, p double, q double")
-    out = smote(df, "y", ["p", "q"], "key", pivots_per_class=4, block_rows=8).cache()
+    out = smote(df, "y", ["p", "q"], "key", leaf_rows=8).cache()
     counts = {r.y: r["count"] for r in out.groupBy("y").count().collect()}
     assert counts == {"a": 100, "b": 100, "c": 100}
     assert out.where(~F.col("synthetic")).count() == 124
@@ -61,7 +63,7 @@ def test_smote_balances_and_stays_between_parents(spark):
             x = np.array([r.p, r.q])
             off = [abs(np.linalg.norm(x - a) + np.linalg.norm(x - b) - np.linalg.norm(a - b)) for a, b in pairs]
             assert min(off) < 1e-9
-    again = smote(df, "y", ["p", "q"], "key", pivots_per_class=4, block_rows=8)
+    again = smote(df, "y", ["p", "q"], "key", leaf_rows=8)
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.collect()))
 
 
@@ -72,23 +74,69 @@ def test_class_weights(spark):
     assert with_class_weights(df, "y").agg(F.sum("weight")).first()[0] == pytest.approx(9.0)
 
 
-def test_probes_bound_the_search_and_find_near_rows(spark):
-    rng = random.Random(7)
-    rows = [(i, 0, [rng.gauss(i % 12, 0.2) for _ in range(4)]) for i in range(1500)]
+def neighbours(found):
+    out = {}
+    for r in sorted(found.collect(), key=lambda r: (r.id, r.nth)):
+        out.setdefault(r.id, []).append((r.nid, r.dist))
+    return out
+
+
+@pytest.mark.parametrize("n, leaf_rows", [(3000, 64), (20_000, 64), (20_000, 512)])
+def test_tree_finds_nine_tenths_of_the_neighbours(spark, n, leaf_rows):
+    """Uniform rows: nothing to help the search. The number of leaves is 47 to 313."""
+    x = np.random.default_rng(7).random((n, 6))
+    rows = [(i, 0, x[i].tolist()) for i in range(n)]
     df = spark.createDataFrame(rows, "id bigint, cls int, vec array<double>")
-    asking = df.withColumn("is_query", F.col("id") % 10 == 0)
-    exact = {(r.id, r.nid) for r in nearest_in_class(asking, 5, 24, 64).collect()}
-    found = {(r.id, r.nid) for r in nearest_in_class(asking, 5, 24, 64, probes=8).collect()}
-    assert len(found) >= 0.98 * len(exact)
-    near = {r.id: r.dist for r in nearest_in_class(asking, 5, 24, 64, probes=8).where("nth = 5").collect()}
-    true = {r.id: r.dist for r in nearest_in_class(asking, 5, 24, 64).where("nth = 5").collect()}
-    assert np.median([near[i] / true[i] for i in near]) < 2
+    every = n // 300
+    found = neighbours(near_in_class(df.withColumn("is_query", F.col("id") % every == 0), 5, leaf_rows))
+    asked = range(0, n, every)
+    assert found.keys() == set(asked) and {len(v) for v in found.values()} == {5}
+    hits = 0
+    for i in asked:
+        d = np.linalg.norm(x - x[i], axis=1)
+        d[i] = np.inf
+        true = set(np.argsort(d)[:5].tolist())
+        hits += len(true & {j for j, _ in found[i]})
+        assert [d[j] for j, _ in found[i]] == pytest.approx([dist for _, dist in found[i]])
+    assert hits >= 0.9 * 5 * len(asked)
+
+
+def test_tree_by_class_with_copies(spark):
+    """A third of all rows are one point, spread over classes with one and many leaves."""
+    rng = random.Random(3)
+    rows = [(i, "big" if i % 7 else "small", [1.0, 2.0] if i % 3 == 0 else [rng.random() * 9, rng.random()]) for i in range(1400)]
+    df = spark.createDataFrame(rows, "id bigint, cls string, vec array<double>").withColumn("is_query", F.col("id") % 4 == 0)
+    found = neighbours(near_in_class(df.repartition(5), 5, leaf_rows=40, probes=400))
+    want = brute_force(rows, 5)
+    cls = {i: c for i, c, _ in rows}
+    assert found.keys() == {i for i, _, _ in rows if i % 4 == 0}
+    for i, near in found.items():
+        assert [d for _, d in near] == pytest.approx(want[i], abs=1e-9)  # every leaf is looked into
+        assert len({j for j, _ in near} - {i}) == 5 and {cls[j] for j, _ in near} == {cls[i]}
+
+
+def test_leaves_stay_small(spark):
+    """Clusters of very different size, many more rows than a leaf: the largest leaf is a few times the mean."""
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(0, 0.01, (6000, 3)), r.normal(3, 1, (2000, 3))])
+    points = spark.createDataFrame([(i, 0, v.tolist(), False, [i]) for i, v in enumerate(x)], "pid bigint, cls int, vec array<double>, is_query boolean, ids array<bigint>")
+    members, _ = neighbor_tree._dealt(points, {0: 8000}, {0: 125}, 8, 42)
+    sizes = [r["count"] for r in members.groupBy("leaf").count().collect()]
+    assert sum(sizes) == 8000 and len(sizes) > 100 and max(sizes) < 8 * 64
+
+
+def test_smote_can_search_exactly(spark):
+    rng = random.Random(5)
+    rows = [(i, "a" if i % 5 else "b", rng.random(), rng.random()) for i in range(200)]
+    df = spark.createDataFrame(rows, "key int, y string, p double, q double")
+    key = lambda out: sorted(tuple(map(str, r)) for r in out.collect())
+    exact = smote(df, "y", ["p", "q"], "key", exact=True, pivots_per_class=4, block_rows=8)
+    assert key(exact) == key(smote(df, "y", ["p", "q"], "key"))  # one leaf: the same neighbours
 
 
 def test_many_classes(spark):
     rows = [(i, i % 260 if i < 2600 else 999, float(i % 7), float(i % 11)) for i in range(2700)]
     df = spark.createDataFrame(rows, "key int, y int, p double, q double")
-    for probes in (8,):
-        out = smote(df, "y", ["p", "q"], "key", probes=probes)
-        assert {r["count"] for r in out.groupBy("y").count().collect()} == {100}
-        assert out.where("not synthetic").count() == len(rows)
+    out = smote(df, "y", ["p", "q"], "key")
+    assert {r["count"] for r in out.groupBy("y").count().collect()} == {100}
+    assert out.where("not synthetic").count() == len(rows)

@@ -1,3 +1,5 @@
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,11 +56,9 @@ def test_cross_validation_and_search(table):
     folds = models.cross_validate(table, ORDER, "y", pipeline, n_splits=2).collect()
     assert sorted(r.fold for r in folds) == [1, 2] and all(r.accuracy > 0.8 for r in folds)
     settings = models.sample_settings({"max_depth": (1, 5), "num_trees": [3]}, 2)
-    scores, best, model = models.random_search(
-        table, ORDER, "y", lambda **s: models.random_forest(FEATURES, "y", **s), settings, n_splits=2
-    )
-    assert scores.count() == 2 and best in settings
-    assert share_right(models.predict(model, table)) > 0.5
+    scores, best, model = models.random_search(table, ORDER, "y", FEATURES, settings, n_splits=2)
+    assert scores.count() == 4 and best in settings
+    assert share_right(model.predict(table)) > 0.5
 
 
 def test_settings_are_repeatable_and_in_range():
@@ -70,9 +70,8 @@ def test_settings_are_repeatable_and_in_range():
 
 
 def test_param_grid(spark):
-    tree = models.random_forest(["x"], "y").getStages()[-1]
-    grid = models.param_grid({"maxDepth": [3, 5], "numTrees": [1, 2]}, tree)
-    assert sorted((s["maxDepth"], s["numTrees"]) for s in grid) == [(3, 1), (3, 2), (5, 1), (5, 2)]
+    grid = models.param_grid({"max_depth": [None, 5], "num_trees": [1, 2]})
+    assert [(s["max_depth"], s["num_trees"]) for s in grid] == [(None, 1), (None, 2), (5, 1), (5, 2)]
 
 
 def test_registered_training_is_not_cut(spark, monkeypatch):
@@ -80,23 +79,11 @@ def test_registered_training_is_not_cut(spark, monkeypatch):
 
     seen = {}
     monkeypatch.setattr(catalog, "split_ready", lambda *a: ("train", "test"))
-    monkeypatch.setattr(catalog.models, "random_search", lambda df, order, label, build, settings, n_splits=5, **k: seen.update(settings=settings, folds=n_splits) or (None, None, None))
-    catalog.random_search(None, None)
-    assert seen["folds"] == 5 and seen["settings"] == models.sample_settings(catalog.FOREST_SPACE, 50)
     monkeypatch.setattr(catalog, "features_of", lambda df: FEATURES)
-    assert catalog.boost(None) and catalog.BOOST_ITERATIONS == 100
-    monkeypatch.setattr(catalog, "sequence_windows", lambda *a: None)
-    monkeypatch.setattr(catalog, "ready", lambda *a: None)
-    monkeypatch.setattr(catalog, "stage", lambda *a: None)
-    monkeypatch.setattr(catalog, "split_years", lambda *a: (None, None))
-    monkeypatch.setattr(catalog.models, "with_window_vector", lambda df: None)
-    monkeypatch.setattr(catalog.encode, "categories", lambda *a: ["x"] * 3)
-
-    def built(pipeline, *rest):
-        seen["iterations"] = pipeline.getStages()[-1].getMaxIter() if pipeline.getStages()[-1].hasParam("maxIter") else [s.getMaxIter() for s in pipeline.getStages() if s.hasParam("maxIter")][0]
-        raise StopIteration
-
-    monkeypatch.setattr(catalog.models, "fit", built)
-    with pytest.raises(StopIteration):
-        catalog.sequence_classify(None, None)
-    assert seen["iterations"] == 100
+    monkeypatch.setattr(catalog.models, "random_search", lambda df, order, label, features, settings, n_splits=5, **k: seen.update(settings=settings, folds=n_splits) or [None] * 3)
+    catalog.boost_search(None, None)
+    assert seen["folds"] == 5 and seen["settings"] == models.sample_settings(catalog.BOOST_SPACE, 50)
+    catalog.random_search_smote(None, None)
+    assert seen["folds"] == 5 and seen["settings"] == models.sample_settings(catalog.FOREST_SPACE, 50)
+    assert catalog.BOOSTING.rounds == 100 and len(models.param_grid(catalog.FOREST_GRID)) == 162
+    assert inspect.signature(catalog.sequence_model.train).parameters["rounds"].default == 60

@@ -13,6 +13,7 @@ from seriesloom.operators.indices import (
 )
 from seriesloom.operators.windows import (
     group_apply,
+    group_stream,
     interpolate_linear,
     lag_features,
     lead_target,
@@ -210,3 +211,88 @@ def test_group_apply_checks_its_groups(skewed):
     assert group_apply(skewed, "e", fn, "e string, t int", 400).count() == 6
     with pytest.raises(ValueError):
         group_apply(skewed, "e", fn, "e string, t int", 399)
+
+
+def test_group_stream_carries_its_state(spark):
+    """One entity of ten batches, a null key, and batches that hold several entities."""
+    rows = [("big", i, 1.0) for i in range(1000)] + [(e, i, 2.0) for e in ("a", "b", None) for i in range(7)]
+    df = spark.createDataFrame(rows, "e string, t int, v double").repartition(6)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+
+        def step(state, pdf):
+            largest, so_far = state
+            out = pdf.assign(total=so_far + pdf["v"].cumsum())[["e", "t", "total"]]
+            return (max(largest, len(pdf)), out["total"].iloc[-1]), out
+
+        def finish(key, state):
+            import pandas as pd
+
+            return pd.DataFrame({"e": [key[0]], "t": [-state[0]], "total": [state[1]]})
+
+        out = group_stream(df, "e", "t", lambda key: (0, 0.0), step, "e string, t int, total double", finish).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r.e, r.t): r.total for r in out if r.t >= 0} == {(e, t): (t + 1) * v for e, t, v in rows}
+    ends = {r.e: (-r.t, r.total) for r in out if r.t < 0}
+    assert ends["big"][1] == 1000 and ends["big"][0] <= 100
+    assert {e: total for e, (_, total) in ends.items() if e != "big"} == {"a": 14, "b": 14, None: 14}
+
+
+
+def large_joins(df):
+    """Joins that are not with a table of one row per range, by the plan before it runs."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return [line for line in plan.splitlines() if "SortMergeJoin" in line or "ShuffledHashJoin" in line]
+
+
+@pytest.mark.parametrize("kind", ["ties", "nulls", "mixed"])
+def test_chunked_statistics_need_no_join_on_the_entity(spark, kind):
+    """Half of the rows hold one value, most rows one entity, in small ranges."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(900):
+        value = 5.0 if i % 2 else round(rng.random() * 12 - 1, 1)
+        if kind == "nulls" and i % 3 == 0:
+            value = None
+        if kind == "mixed":
+            value = None if i % 7 == 0 else float(rng.randrange(3))
+        rows.append(("big" if i % 9 else f"e{i % 4}", i, value))
+    rows += [("none", i, None) for i in range(5)] + [("one", 0, 1.5), (None, 0, 1.0), (None, 1, 2.0)]
+    df = spark.createDataFrame(rows, "e string, t int, v double")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut, series = chunked(df, SERIES)
+        functions = [
+            lambda d, s: percentile_of_score(d, s, {"p": "v"}),
+            lambda d, s: zscore_anomaly(d, s, {"z": "v"}),
+            lambda d, s: spi(d, s, "v", 3, "x"),
+        ]
+        for function in functions:
+            found = function(cut, series)
+            assert not large_joins(found)
+            got = {(r.e, r.t): r[-1] for r in found.drop(series.chunk).collect()}
+            want = {(r.e, r.t): r[-1] for r in function(df, SERIES).collect()}
+            assert got.keys() == want.keys() and len(got) == len(rows)
+            for k in want:
+                assert got[k] == (pytest.approx(want[k], rel=1e-8, abs=1e-9) if want[k] is not None else None), (k, got[k], want[k])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_frequent_value_is_ranked_in_many_tasks(spark):
+    df = spark.createDataFrame([("a", i, 1.0 if i % 2 else float(i)) for i in range(2000)], "e string, t int, v double")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        cut, series = chunked(df, SERIES)
+        by_value, ranges = chunked(cut.withColumnRenamed(series.chunk, "_own"), Series.of("e", ["v", "t"]))
+        counts = [r["count"] for r in by_value.where("v = 1.0").groupBy(ranges.chunk).count().collect()]
+        assert len(counts) > 6 and max(counts) < 300
+        assert percentile_of_score(cut, series, {"p": "v"}).where("v = 1.0").select("p").distinct().count() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
