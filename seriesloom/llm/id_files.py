@@ -15,14 +15,15 @@ the one between frames, so that any file system Spark knows can hold them, and a
 executor's task writes its file again. Beside the files lie ``dictionary`` (one
 row) and ``manifest`` (a row per file: documents, ids, and the ids of all files before).
 
-The dictionary is trained on the serialized arrays of documents chosen by a hash, at
-most about SAMPLE_DOCS and SAMPLE_BYTES; it changes sizes, never ids. Too few samples
+The dictionary is trained on the serialized arrays of about SAMPLE_DOCS documents chosen by
+a hash, the first SAMPLE_CHARS of each; it changes sizes, never ids. Too few samples
 for the trainer mean an empty dictionary. ``read`` gives all documents back; ``fetch``
 reads a single one, by the index, without touching the other frames.
 
 Words: with a byte-level pre-tokenizer words are encoded apart from each other, so a
-task asks the library once for each word it has not met lately. Texts with letters of
-which only newer versions of Unicode know, and other tokenizers, go to the library whole.
+worker asks the library once for each word that it has not met lately, many words in one
+call. Texts in which a space stands between other white space, and texts for other
+tokenizers, go to the library whole.
 
 A null text is an empty one: its only id is the end. Null ids come first; documents with
 equal ids stand in the order of a hash of their text, and repeated rows stay, each
@@ -32,100 +33,150 @@ table makes a manifest without rows and reads as an empty table.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
+import os
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .batches import bound_batches, slices
 
-SHARD_BYTES = 64 << 20  # of text in a file, about
-SAMPLE_DOCS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 8 << 20, 1 << 16
+SHARD_BYTES = 32 << 20  # of text in a file, about: what a task sorts
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 1 << 14, 1 << 16
 LEVEL = 3
-MOST_WORDS = 400_000  # a task remembers, of at most LONGEST_WORD letters
+MOST_WORDS = 100_000  # of a generation that a worker remembers, of at most LONGEST_WORD letters
 LONGEST_WORD = 64
+TOGETHER, CALL = 200, 16  # words in one text for the library, texts in a call
+WORDS = 1 << 17  # put together at a time
+BATCH_TEXT = 10_000_000  # encoded at a time: a word that repeats in it is looked up once
 READ_IDS = 1 << 19  # in a batch that is read
 MAGIC = b"IDF1"
 FOOTER = "<4sB3x32sQQQQ"  # magic, bytes of an id, dictionary, documents, ids, place and length of the index
 FOOTER_BYTES = struct.calcsize(FOOTER)
-# Fixed value: the words of byte-level encoding
-BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BYTE_LEVEL_SPACE = "\u0120"  # fixed value: a space in a byte-level vocabulary
+# a space between other white space, or after it at the end, as RE2 has it
+INNER_SPACE = r"[\s\v\p{Z}\x1c-\x1f\x{85}] (?:[\s\v\p{Z}\x1c-\x1f\x{85}]|\z)"
 
 
 class Encoder:
     """Texts to ids by the tokenizers library, as bytes of a fixed width."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; read at the first call
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        special = [t for t in parts.get("added_tokens") or [] if t["content"]]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+        special = parts.get("added_tokens") or []
         before = parts.get("pre_tokenizer") or {}
         by_word = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
-        plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in special)
-        self.words = None
-        if by_word and plain and not parts.get("normalizer") and not parts.get("truncation") and not parts.get("padding"):
-            named = "".join(f"{regex.escape(t['content'])}|" for t in sorted(special, key=lambda t: -len(t["content"])))
-            self.words = regex.compile(named + BYTE_LEVEL_WORDS)
-            self.special = regex.compile(named[:-1]) if named else None
+        plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or " " in t["content"] for t in special)
+        self.by_word = by_word and plain and not any(parts.get(c) for c in ("normalizer", "truncation", "padding", "post_processor"))
+        # ids of tokens that begin with a space; these begin a word
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(BYTE_LEVEL_SPACE)]] = True
         self.known: dict[str, bytes] = {}
-        self.letters: set[str] = set()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if self.words is None:
-            return self._by_library(texts)
-        split = [self._split(t) if self._assigned(t) else () for t in texts]
-        new = {w for words in split for w in words} - self.known.keys()
-        if len(self.known) + len(new) > MOST_WORDS:
-            self.known.clear()
-            new = {w for words in split for w in words}
-        asked = list(new)
-        known = self.known
-        fresh = dict(zip(asked, self._by_library(asked)))
-        known.update(fresh)
-        out = [b"".join([known[w] for w in words]) for words in split]
-        for i, words in enumerate(split):
-            if words == ():
-                out[i] = self._by_library([texts[i]])[0]
-        for word in asked:
-            if len(word) > LONGEST_WORD:
-                del known[word]
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """Words are cut before a space, where the library cuts too, but for a space between other white space."""
+        whole = np.array(pc.match_substring_regex(texts, INNER_SPACE)) if self.by_word else np.ones(len(texts), bool)
+        rest, places = np.flatnonzero(whole), np.flatnonzero(~whole)
+        out: list[bytes] = [b""] * len(texts)
+        if len(rest):
+            for i, ids in zip(rest, self._by_library(texts.take(pa.array(rest)).to_pylist())):
+                out[i] = ids
+            texts = texts.take(pa.array(places))
+        if not len(places):
+            return out
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten()
+        first = np.asarray(split.offsets)[:-1] - split.offsets[0].as_py()
+        heads = words.take(pa.array(first)).to_pylist()  # these have no space before them
+        distinct = words.dictionary_encode()
+        number = np.array(distinct.indices)
+        number[first] = len(distinct.dictionary) + np.arange(len(first))
+        data = [*self._of_words(distinct.dictionary.to_pylist()), *self._by_library(heads)]
+        ids, size = np.frombuffer(b"".join(data), self.kind), int(self.kind[-1])
+        length = np.fromiter(map(len, data), np.int32, len(data)) // size
+        start = np.cumsum(length, dtype=np.int32) - length
+        ends = [*first[1:].tolist(), len(number)]
+        a = 0
+        while a < len(ends):  # documents of about WORDS words, to hold few places at a time
+            b = max(a + 1, int(np.searchsorted(ends, first[a] + WORDS, side="right")))
+            some = number[first[a] : ends[b - 1]]
+            own = length[some]
+            end = np.cumsum(own, dtype=np.int64)
+            place = np.repeat(start[some] - (end - own).astype(np.int32), own)
+            place += np.arange(len(place), dtype=np.int32)
+            joined = ids[place].tobytes()
+            cuts = [*((end - own)[first[a:b] - first[a]] * size).tolist(), len(joined)]
+            for i, x, y in zip(places[a:b], cuts, cuts[1:]):
+                out[i] = joined[x:y]
+            a = b
         return out
 
-    def _assigned(self, text: str) -> bool:
-        """Whether no letter is one that only some versions of Unicode know: there words may differ from the library's."""
-        if not text.isascii():
-            new = set(text) - self.letters
-            if any(unicodedata.category(c) == "Cn" for c in new):
-                return False
-            self.letters |= new
-        return True
-
-    def _split(self, text: str) -> list[str]:
-        """Words, special tokens among them, in order."""
-        if self.special is None or not self.special.search(text):
-            return self.words.findall(text)
-        out, at = [], 0
-        for found in self.special.finditer(text):  # a word does not reach over a special token
-            out += self.words.findall(text[at : found.start()])
-            out.append(found.group())
-            at = found.end()
-        return out + self.words.findall(text[at:])
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words with a space before them; asks the library for those not known.
+
+        Words are kept in two generations: when the young one is full it becomes the old
+        one, from which a word that occurs again moves to the young one.
+        """
+        found = list(map(self.known.get, words))
+        new = []
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            found[i] = ids = self.old.get(words[i])
+            if ids is None:
+                new.append(i)
+            else:
+                self.known[words[i]] = ids
+        fresh = self._words([words[i] for i in new])
+        for i in new:
+            found[i] = fresh[words[i]]
+            if len(words[i]) <= LONGEST_WORD:
+                self.known[words[i]] = found[i]
+        if len(self.known) > MOST_WORDS:
+            self.known, self.old = {}, self.known
+        return found
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words with a space before them, many in one call."""
+        inner = [w for w in words if w and w == w.strip()]
+        found, alone = {}, [w for w in words if not w or w != w.strip()]
+        parts = [inner[i : i + TOGETHER] for i in range(0, len(inner), TOGETHER)]
+        for part, ids in ((p, i) for a in range(0, len(parts), CALL) for p, i in zip(parts[a:], self._ids([" " + " ".join(p) for p in parts[a : a + CALL]]))):
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(part) and starts[0] == 0:
+                data, size = ids.astype(self.kind).tobytes(), int(self.kind[-1])
+                edges = [*(starts * size).tolist(), len(data)]
+                found.update(zip(part, [data[a:b] for a, b in zip(edges, edges[1:])]))
+            else:
+                alone += part
+        found.update(zip(alone, self._by_library([" " + w for w in alone])))
+        return found
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _by_library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
+        return [ids.astype(self.kind).tobytes() for ids in self._ids(texts)]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder that a Python worker keeps, with the words it knows."""
+    return Encoder(path)
 
 
 def _end(end_id: int, kind: str) -> bytes:
@@ -137,30 +188,25 @@ def _ordered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"))
 
 
-def train(docs: DataFrame, tokenizer_path: str, end_id: int = 0, n_docs: int | None = None) -> bytes:
-    """A dictionary from the ids of documents chosen by a hash of id and text."""
-    n_docs = docs.count() if n_docs is None else n_docs
-    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(11)), F.lit(1 << 30))
-    chosen = docs.withColumn("place", place).where(F.col("place") < int((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, n_docs))))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path)
-        for batch in batches:
-            ids = [b + _end(end_id, encoder.kind) for b in encoder.encode(batch.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([b[:SAMPLE_BYTES] for b in ids], pa.binary()), batch.column(1)], ["ids", "place"])
-
-    samples, size = [], 0
-    for row in chosen.select("text", "place").mapInArrow(run, "ids binary, place long").orderBy("place", "ids").toLocalIterator():
-        size += len(row.ids)
-        if size > SAMPLE_BYTES:
-            break
-        samples.append(bytes(row.ids))
+def train(texts: list[str], tokenizer_path: str, end_id: int = 0) -> bytes:
+    """A dictionary from the ids of some texts; empty if they are too few for the trainer."""
+    own = encoder(tokenizer_path)
+    samples = [b + _end(end_id, own.kind) for b in own.encode(pa.array(texts, pa.string()))] if texts else []
     try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, size // 20)), samples).as_bytes()
+        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(256, sum(map(len, samples)) // 20)), samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b""
 
 
+def _measured(rows: DataFrame) -> tuple[int, list[str]]:
+    """Bytes of all texts, and beginnings of about SAMPLE_DOCS texts chosen by a hash of id and place in the table, from one scan."""
+    share = min(1.0, SAMPLE_DOCS / max(1, rows.count()))
+    place = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit(11)), F.lit(1 << 30))
+    chosen = F.when(place < int((1 << 30) * share), F.struct(place.alias("place"), F.substring("text", 1, SAMPLE_CHARS).alias("text")))
+    size, found = rows.select(F.octet_length("text").alias("size"), chosen.alias("chosen")).agg(F.sum("size"), F.collect_list("chosen")).first()
+    return size or 0, [r.text for r in sorted(found)]
+
+
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_checksum=True)
@@ -170,31 +216,44 @@ def _decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
     return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined, or cut, to about BATCH_TEXT bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, "text", BATCH_TEXT):
+            held.append(part)
+            size += part.nbytes
+            if size >= BATCH_TEXT:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
     """Files of ids below ``path``, with their dictionary and manifest."""
     spark = docs.sparkSession
     bound_batches(spark)
     rows = _ordered(docs, doc_id, text)
-    n_docs, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
-    dictionary = train(rows, tokenizer_path, end_id, n_docs)
+    size, sample = _measured(rows)
+    dictionary = train(sample, tokenizer_path, end_id)
     digest = hashlib.sha256(dictionary).digest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, compressor = Encoder(tokenizer_path), _compressor(dictionary)
-        end, width = _end(end_id, encoder.kind), np.dtype(encoder.kind).itemsize
+        own, compressor = encoder(tokenizer_path), _compressor(dictionary)
+        end, width = _end(end_id, own.kind), np.dtype(own.kind).itemsize
         known, ids, offsets, lengths, counts, at = [], [], [], [], [], 0
-        for batch in batches:
-            for part in slices(batch, "text"):
-                data = [b + end for b in encoder.encode(part.column(1).to_pylist())]
-                frames = [compressor.compress(b) for b in data]
-                sizes = np.array([len(f) for f in frames], np.int64)
-                known.append(np.array(part.column(0).is_valid(), np.uint8))
-                ids.append(np.array(part.column(0).fill_null(0), np.int64))
-                offsets.append(at + np.cumsum(sizes + 1) - sizes - 1)
-                lengths.append(sizes)
-                counts.append(np.array([len(b) // width for b in data], np.int64))
-                at += int(sizes.sum()) + len(sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["value"])
+        for part in _together(batches):
+            data = own.encode(part.column(1))
+            frames = [compressor.compress(b + end) for b in data]
+            sizes = np.array([len(f) for f in frames], np.int64)
+            known.append(np.array(part.column(0).is_valid(), np.uint8))
+            ids.append(np.array(part.column(0).fill_null(0), np.int64))
+            offsets.append(at + np.cumsum(sizes + 1) - sizes - 1)
+            lengths.append(sizes)
+            counts.append(np.array([len(b) // width + 1 for b in data], np.int64))
+            at += int(sizes.sum()) + len(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["value"])
         if known:
             n_ids = sum(int(c.sum()) for c in counts)
             index = zstandard.ZstdCompressor().compress(b"".join(np.concatenate(c).tobytes() for c in (ids, offsets, lengths, counts, known)))
@@ -202,7 +261,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, doc_
             yield pa.RecordBatch.from_arrays([pa.array([index + footer], pa.binary())], ["value"])
 
     tie = F.xxhash64("text")
-    files = max(1, -(-(size or 0) // shard_bytes))
+    files = max(1, -(-size // shard_bytes))
     ordered = rows.withColumn("tie", tie).repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     framed = ordered.select("doc_id", "text").mapInArrow(run, "value binary")
     framed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{path}/ids")

@@ -200,6 +200,25 @@ def test_audit_finds_what_differs(spark):
     assert warc_audit.audit(left, left).collect() == []
 
 
+def test_every_record_of_a_repeated_id_is_located(spark):
+    rows = [("a", 10 * k, 10, "x", "", f"h{k}") for k in range(4)] + [("a", 40, 10, "y", "", "same"), ("a", 50, 10, "y", "", "same")]
+    find = lambda changed: sorted(tuple(r) for r in warc_audit.audit(*(spark.createDataFrame(x, warc_audit.RECORD_SCHEMA) for x in (rows, changed))).collect())
+    third_corrupt = [r[:5] + ("bad",) if r[1] == 20 else r for r in rows]
+    assert find(third_corrupt) == [("a", "x", "corrupt", 20, 10)]
+    second_corrupt_last_lost = [r[:5] + ("bad",) if r[1] == 10 else r for r in rows if r[1] != 30]
+    assert find(second_corrupt_last_lost) == [("a", "x", "corrupt", 10, 10), ("a", "x", "missing", 30, 10)]
+    assert find([r for r in rows if r[1] != 50]) == [("a", "y", "missing", 50, 10)]
+    assert find([*rows, ("a", 60, 10, "y", "", "same"), ("a", 70, 10, "x", "", "h9")]) == [("a", "x", "extra", 70, 10), ("a", "y", "extra", 60, 10)]
+    assert find([(a, o + 5, *rest) for a, o, *rest in rows]) == sorted(("a", r[3], "moved", r[1], 10) for r in rows)
+
+
+def test_pages_without_an_id_are_spread(spark, tmp_path):
+    pages = spark.createDataFrame([(None, f"u{i}", f"<p>{i}</p>") for i in range(40)] + [(None, None, None)] * 2, "page_id long, url string, html string").selectExpr("*", "'n' AS archive", "'v' AS value", "1 AS __id")
+    warc_audit.write(pages, str(tmp_path / "w"))
+    rows = warc_audit.read(spark, str(tmp_path / "w")).collect()
+    assert len(rows) == 42 and {r.record_id for r in rows} == {"urn:page:none"} and len({r.archive for r in rows}) > 30
+
+
 def test_broken_bytes_are_read_on(spark):
     good = [f"WARC/1.1\r\nWARC-Record-ID: <r{k}>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n".encode() for k in range(3)]
     data = b"".join(good)
