@@ -12,10 +12,12 @@ compared in the leaves that differ alone, by their ids: ``corrupt`` (other bytes
 ``missing``, ``extra``, ``moved`` (same bytes elsewhere in the archive) and
 ``damaged`` (a stretch without a readable header).
 
-An archive absent from one side differs as a whole. A page without an id goes to
-archive "none", a null html is an empty block, a null url an empty target. Records with
-the same id in an archive are compared as a set of their hashes. Extra columns are
-ignored. Empty tables differ in nothing.
+An archive absent from one side differs as a whole. Pages without an id go to archives of
+their own by a hash of their bytes, so that these stay small; a null html is an empty block, a
+null url an empty target. Records with the same id in an archive are paired by equal bytes
+first, then in order of their offsets, and each that differs has a row of its own; so
+have repeated rows. A very long page is one record, and a file's records are read from
+its whole bytes. Extra columns are ignored. Empty tables differ in nothing.
 """
 
 from __future__ import annotations
@@ -26,11 +28,12 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..sources.staging import stage
 
 PAGES_PER_ARCHIVE = 1000
+NO_ID_ARCHIVES = 1 << 16
 LEAF_BYTES = 1 << 16
 FANOUT = 8
 DATE = "2024-01-01T00:00:00Z"
@@ -55,9 +58,10 @@ def record(page_id: str = "page_id", url: str = "url", html: str = "html") -> Co
     )
 
 
-def archive(page_id: str = "page_id", pages: int = PAGES_PER_ARCHIVE) -> Column:
-    """The archive of a page: consecutive ids share one."""
-    return F.coalesce(F.floor(F.col(page_id) / pages).cast("string"), F.lit("none"))
+def archive(page_id: str = "page_id", pages: int = PAGES_PER_ARCHIVE, html: str = "html") -> Column:
+    """The archive of a page: consecutive ids share one; pages without an id are dealt by a hash of their bytes."""
+    dealt = F.concat(F.lit("none-"), F.lpad(F.hex(F.pmod(F.xxhash64(html), F.lit(NO_ID_ARCHIVES))), 4, "0"))
+    return F.coalesce(F.floor(F.col(page_id) / pages).cast("string"), dealt)
 
 
 def write(pages: DataFrame, path: str, name: Column | None = None, page_id: str = "page_id") -> None:
@@ -176,21 +180,22 @@ def audit(left: DataFrame, right: DataFrame, leaf_bytes: int = LEAF_BYTES, fanou
 
 
 def _by_record(left: DataFrame, right: DataFrame) -> DataFrame:
-    def gathered(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy("archive", "record_id").agg(
-            F.array_sort(F.collect_list("sha256")).alias(f"{name}_hashes"),
-            F.array_sort(F.collect_list("offset")).alias(f"{name}_offsets"),
-            F.min(F.struct("offset", "length")).alias(name),
-        )
-
-    both = gathered(left, "a").join(gathered(right, "b"), ["archive", "record_id"], "full")
+    """Records of one id are paired by equal bytes first, then in order; each has a row of its own."""
+    numbered = lambda side, keys, order: side.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    same = ["archive", "record_id", "sha256"]
+    sides = [
+        numbered(side, same, ["offset"]).select(*same, "nth", F.struct("offset", "length").alias(name)) for side, name in ((left, "a"), (right, "b"))
+    ]
+    # both ways of pairing begin with what has no partner of equal bytes
+    first = stage(sides[0].join(sides[1], [*same, "nth"], "full"), "paired")
     damaged = F.col("record_id").startswith("offset:")
-    status = (
-        F.when(damaged, "damaged")
-        .when(F.col("a").isNull(), "extra")
-        .when(F.col("b").isNull(), "missing")
-        .when(F.col("a_hashes") != F.col("b_hashes"), "corrupt")
-        .when(F.col("a_offsets") != F.col("b_offsets"), "moved")
-    )
+    moved = first.where(F.col("a.offset") != F.col("b.offset")).withColumn("status", F.when(damaged, "damaged").otherwise("moved"))
+    rest = [
+        numbered(first.where(f"{other} IS NULL"), ["archive", "record_id"], [f"{name}.offset"]).select("archive", "record_id", "nth", name)
+        for name, other in (("a", "b"), ("b", "a"))
+    ]
+    status = F.when(damaged, "damaged").when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "missing").otherwise("corrupt")
+    changed = rest[0].join(rest[1], ["archive", "record_id", "nth"], "full").withColumn("status", status)
     at = F.coalesce("a", "b")
-    return both.select("archive", "record_id", status.alias("status"), at["offset"].alias("offset"), at["length"].alias("length")).where(F.col("status").isNotNull())
+    shown = ["archive", "record_id", "status", at["offset"].alias("offset"), at["length"].alias("length")]
+    return moved.select(*shown).unionByName(changed.select(*shown))

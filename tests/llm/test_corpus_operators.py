@@ -171,7 +171,9 @@ def test_warc_files_round_trip(spark, tmp_path):
     pages = spark.createDataFrame([(1, "http://a/\r\nX: y", block), (2, None, None), (1001, "u", ""), (None, "v", "x" * 300_000)], "page_id long, url string, html string")
     warc_audit.write(pages, str(tmp_path / "w"))
     rows = warc_audit.read(spark, str(tmp_path / "w")).collect()
-    assert sorted((r.archive, r.record_id) for r in rows) == [("0", "urn:page:1"), ("0", "urn:page:2"), ("1", "urn:page:1001"), ("none", "urn:page:none")]
+    # a page without an id is in an archive of its own kind, named after a hash of its bytes
+    named = sorted((r.archive.partition("-")[0], r.record_id) for r in rows)
+    assert named == [("0", "urn:page:1"), ("0", "urn:page:2"), ("1", "urn:page:1001"), ("none", "urn:page:none")]
     whole = {r.page_id: r.v for r in pages.select("page_id", warc_audit.record().alias("v")).collect()}
     first = next(r for r in rows if r.record_id == "urn:page:1")
     assert first.offset == 0 and first.sha256 == hashlib.sha256((whole[1] + warc_audit.BREAK).encode()).hexdigest()
