@@ -17,6 +17,8 @@ runs of that length. Items and documents that are null or have no words hit noth
 An item is its id and text: texts that share an id, or have none, are found each by
 its own size, and so are equal texts with different ids. Repeated items and repeated
 documents (same id, same text) are one finding. Extra columns are ignored.
+
+Very long documents are read whole. Tables without documents or items give an empty result.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ of its words differ; the fewest differences, then the larger saving, then the na
 
 Null, empty and unlicensed texts give no rows. Repeated rows are scanned each.
 Positions are code points of the block, end exclusive. Extra columns are ignored.
+A very long line is one block, and all lines of a long text are read. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -17,6 +17,7 @@ the sign U+2581, which stands for a space in pieces, comes back as a space.
 
 Null and empty texts have no pieces and decode to an empty text. Repeated rows are
 encoded each; other columns are kept.
+Very long texts are encoded whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -18,6 +18,10 @@ within a kind: the pieces between matches and the matches give the offsets.
 Null and empty texts have no spans. A null owner is an owner of its own, likewise
 a null repository. Repeated rows are rows of their own, but one repository. Extra
 columns are ignored.
+
+Very long texts are scanned whole. Of spans that begin at one place the kind listed first comes
+first. Repeated rows are scanned each, and count once for their owner. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations

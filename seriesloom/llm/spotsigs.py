@@ -14,6 +14,9 @@ document which class it is in, how many documents that has, and how many are in
 A text without signatures (empty, null, or without anchors before content words)
 has one: the hash of the whole text. So equal texts have equal fingerprints, and
 two such texts are alike only if equal. Repeated rows are kept as rows.
+
+Very long texts are read whole. Repeated rows have a fingerprint each, equal ones for equal texts.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations

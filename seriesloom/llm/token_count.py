@@ -19,6 +19,9 @@ chunk leads from an entry state to an exit state and a count. Maps are kept by
 differences of one prefix sum.
 
 A null text is empty and has no tokens. Repeated rows are counted each.
+
+Very long texts are counted whole, in chunks, and long words by chunk maps. Repeated rows are
+counted each; counts have no ties. An empty table gives an empty result.
 """
 
 from __future__ import annotations
