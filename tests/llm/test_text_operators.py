@@ -2,6 +2,7 @@
 
 import os
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -223,6 +224,56 @@ def test_brute_force_ranking_agrees_with_wording():
         assert license_scan.identify(text, known)[2] == fewest == 0
 
 
+def plain_licenses(text, known):
+    """Every template against every run of about its length, words folded, by plain comparison."""
+    words = license_scan.WORD.findall(text.lower())
+    found = set()
+    for name, template in known.items():
+        wording = license_scan.WORD.findall(template.lower())
+        for a in range(len(words)):
+            if words[a : a + len(wording)] == wording:
+                found.add(name)
+    return found
+
+
+def test_notices_over_lines_and_beside_each_other():
+    known = license_scan.TEMPLATES
+    wrapped = {n: textwrap.fill(known[n], 76, break_on_hyphens=False, break_long_words=False) for n in ("MIT-text", "BSD-3-Clause", "Apache-2.0-header", "ISC-text")}
+    for name, text in wrapped.items():
+        body = "Some words before.\n\n" + "\n".join(f" * {line}" for line in text.splitlines()) + "\n\nThe rest of the file."
+        (a, b, found, _, count, _, _), = license_scan.licenses(body, known)
+        assert (found, count) == (name, 0) and body[a:b].startswith(" * ") and b == body.index("\n\nThe rest")
+    both = "Released under the MIT License. Texts are licensed under CC BY 4.0."
+    assert [n[2] for n in license_scan.licenses(both, known)] == ["CC-BY-4.0", "MIT"]
+    assert [n[2] for n in license_scan.licenses("This work is licensed under the GNU General\nPublic License, version 3.", known)] == ["GPL-3.0"]
+    assert [n[2] for n in license_scan.licenses("// SPDX-License-Identifier: MIT\nx = 1", known)] == ["MIT (SPDX)"]
+    assert license_scan.licenses("A license\n\nunder the MIT", known) == []
+
+
+def test_scan_finds_what_plain_comparison_finds(spark):
+    """A table of texts with notices in prose, some of them twice, whatever stands around them."""
+    r = random.Random(12)
+    known = license_scan.TEMPLATES
+    # of templates inside others only the larger is a notice of its own
+    names = [n for n in known if not any(n != m and known[n].rstrip(".").lower() in known[m].lower() for m in known)]
+    prose = "the code of this work and any other text is what it is under the sun".split()
+    rows, expected = [], {}
+    for i in range(120):
+        chosen = r.sample(names, r.randint(0, 3))
+        parts = [" ".join(r.choices(prose, k=r.randint(0, 90))) for _ in range(len(chosen) + 1)]
+        text = parts[0]
+        for name, more in zip(chosen, parts[1:]):
+            text += r.choice(["\n", " ", "\n\n"]) + textwrap.fill(known[name], r.choice([40, 76, 1000]), break_on_hyphens=False, break_long_words=False) + r.choice(["\n", "\n\n"]) + more
+        rows.append((i, text))
+        expected[i] = set(chosen)
+        assert expected[i] <= plain_licenses(text, known)
+    found = {}
+    for row in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert row.n_different == 0
+        found.setdefault(row.doc_id, set()).add(row.license)
+    assert {i: found.get(i, set()) for i in expected} == expected
+
+
 def test_license_rows(spark, odd_docs):
     assert license_scan.scan(odd_docs).collect() == []
     docs = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny"), (1, "x\nReleased under the MIT License.\ny"), (2, None)], "doc_id long, text string")
