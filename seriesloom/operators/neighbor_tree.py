@@ -8,7 +8,8 @@ many there are: dense places have more pivots. Only upper pivots are broadcast;
 grows with the root of the class (50,000 rows of them stand for a million million).
 
 A row that asks looks into the ``probes`` leaves with the nearest pivots, found below
-its nearest upper pivots. By default these are two per dimension, eight at least: with
+its nearest upper pivots. Leaves of an upper pivot are searched in bunches, so a row is sent to
+a bunch once, not to each of its leaves. By default these are two per dimension, eight at least: with
 that, tests on rows without any structure find more than nine tenths of the true
 neighbours, at any number of leaves. A class with one leaf is searched exactly.
 """
@@ -27,7 +28,8 @@ from .neighbors import best, distances, matrix, spark_map
 
 LEAF_ROWS = 512
 PART_ROWS = 8192  # dealt to leaves in a task
-CELL_ROWS = 2048  # of a leaf, and asking it, in a task
+BUNCH_LEAVES = 32  # of an upper pivot, searched together
+HELD_ROWS, CELL_ROWS = 32768, 16384  # of a bunch, and asking it, in a task
 LEAST_PROBES, PROBES_PER_DIMENSION = 8, 2
 MOST_UPPER = 16  # upper pivots below which a row looks for leaves
 SPREAD = 1 << 40
@@ -59,20 +61,20 @@ def near_in_class(rows: DataFrame, k: int, leaf_rows: int = LEAF_ROWS, probes: i
         return rows.select("id", F.col("id").alias("nid"), F.lit(0.0).alias("dist"), F.lit(0).alias("nth")).limit(0)
     leaves = {r.cls: -(-r.n // leaf_rows) for r in found}
     if max(leaves.values()) == 1:
-        one = spark_map({r.cls: r.first for r in found}, points.schema["cls"].dataType)
-        members = points.select(one[F.col("cls")].alias("leaf"), "pid", "vec", "ids")
-        asked = points.where("is_query").select(one[F.col("cls")].alias("leaf"), "pid", "vec")
+        one = spark_map({r.cls: r.first for r in found}, points.schema["cls"].dataType)[F.col("cls")]
+        members = points.select(one.alias("bunch"), one.alias("leaf"), "pid")
+        asked = points.where("is_query").select(one.alias("bunch"), F.array(one).alias("leaves"), "pid")
     else:
         if probes is None:
             probes = max(LEAST_PROBES, PROBES_PER_DIMENSION * max(r.dims for r in found))
         sizes = {r.cls: r.n for r in found}
         members, asked = _dealt(points, sizes, leaves, probes, seed)
-    near = _searched(members, asked, k)
+    near = _searched(points, members, asked, k)
     return _of_rows(rows, points, near, k)
 
 
 def _dealt(points: DataFrame, sizes: dict, leaves: dict, probes: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Points by leaf, and asking points by the leaves they look into."""
+    """Points with their leaf and its bunch, and asking points with the leaves they look into, by bunch."""
     spark, kind = points.sparkSession, points.schema["cls"].dataType
     cls_type = kind.simpleString()
     upper = {c: math.isqrt(n - 1) + 1 for c, n in leaves.items()}
@@ -104,30 +106,46 @@ def _dealt(points: DataFrame, sizes: dict, leaves: dict, probes: int, seed: int)
     work = own.unionByName(asking)
     parts = work.groupBy("cls", "top").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
     keys = ["cls", "top", "part"]
+    parts = F.broadcast(parts)  # one row per upper pivot
     dealt = work.join(parts, ["cls", "top"]).withColumn("part", F.pmod(F.xxhash64("pid", "asks"), F.col("parts")).cast("int")).drop("parts")
     copies = pivot_rows.join(parts, ["cls", "top"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def to_leaves(some: pd.DataFrame, own_pivots: pd.DataFrame) -> pd.DataFrame:
+        """A row per point and bunch, with the leaves in it that the point may look into."""
         if some.empty or own_pivots.empty:
-            return pd.DataFrame({"pid": [], "asks": [], "leaf": [], "dist": []})
+            return pd.DataFrame({c: [] for c in ("pid", "asks", "bunch", "leaves", "dists")})
+        own_pivots = own_pivots.sort_values("leaf")
         leaf, at = own_pivots["leaf"].to_numpy(), matrix(own_pivots["pivot"])
         out = []
         for asks, part in some.groupby("asks"):
             d = distances(matrix(part["vec"]), at)
-            n = min(probes if asks else 1, d.shape[1])
-            order = np.argsort(d, axis=1, kind="stable")[:, :n]
+            n = min(probes if asks else 1, len(leaf))
+            order = np.sort(np.argsort(d, axis=1, kind="stable")[:, :n], axis=1)
+            row, bunch = np.repeat(np.arange(len(part)), n), order.ravel() // BUNCH_LEAVES
+            first = np.flatnonzero(np.diff(row, prepend=-1) | np.diff(bunch, prepend=-1))
+            cut = lambda values: np.split(values.ravel(), first[1:])
             out.append(
-                pd.DataFrame({"pid": np.repeat(part["pid"].to_numpy(), n), "asks": asks, "leaf": leaf[order].ravel(), "dist": np.take_along_axis(d, order, 1).ravel()})
+                pd.DataFrame(
+                    {
+                        "pid": part["pid"].to_numpy()[row[first]],
+                        "asks": asks,
+                        "bunch": leaf[bunch[first] * BUNCH_LEAVES],
+                        "leaves": cut(leaf[order]),
+                        "dists": cut(np.take_along_axis(d, order, 1)),
+                    }
+                )
             )
         return pd.concat(out)
 
     copies = _own(copies)
-    found = dealt.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(to_leaves, "pid bigint, asks boolean, leaf bigint, dist double")
-    found = stage(found, "leaves")
-    members = found.where(~F.col("asks")).select("pid", "leaf").join(points.select("pid", "vec", "ids"), "pid")
-    nearest = F.row_number().over(Window.partitionBy("pid").orderBy("dist", "leaf"))
-    asked = found.where("asks").withColumn("nth", nearest).where(F.col("nth") <= probes).select("pid", "leaf")
-    return members, asked.join(points.where("is_query").select("pid", "vec"), "pid")
+    schema = "pid bigint, asks boolean, bunch bigint, leaves array<bigint>, dists array<double>"
+    found = stage(dealt.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(to_leaves, schema), "leaves")
+    members = found.where(~F.col("asks")).select("bunch", F.col("leaves")[0].alias("leaf"), "pid")
+    seen = found.where("asks").groupBy("pid").agg(F.collect_list(F.struct("bunch", "leaves", "dists")).alias("seen"))
+    of_bunch = lambda s: F.zip_with(s["dists"], s["leaves"], lambda d, x: F.struct(d.alias("dist"), x.alias("leaf"), s["bunch"].alias("bunch")))
+    nearest = F.slice(F.array_sort(F.flatten(F.transform("seen", of_bunch))), 1, probes)
+    asked = seen.select("pid", F.explode(nearest).alias("x")).groupBy("pid", F.col("x.bunch").alias("bunch")).agg(F.collect_list("x.leaf").alias("leaves"))
+    return members, asked.select("bunch", "leaves", "pid")
 
 
 def _own(df: DataFrame) -> DataFrame:
@@ -135,27 +153,43 @@ def _own(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _searched(members: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """pid and its nearest others as (dist, nid) in order, from cells of bounded size of each leaf."""
-    members, asked = stage(members, "members"), stage(asked, "asked")
-    cells = lambda df, name: df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).cast("int").alias(name))
-    grid = cells(members, "rows").join(cells(asked, "columns"), "leaf")
+def _searched(points: DataFrame, members: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """pid and its nearest others as (dist, nid) in order, from cells of bounded size of each bunch.
+
+    A row travels once to a bunch, with the names of the leaves it looks into there, and gets
+    ``k`` rows back from it. Vectors are joined last, so none is written or counted.
+    """
+    asked = stage(asked, "asked")
+    cells = lambda df, most, name: df.groupBy("bunch").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    # one row per BUNCH_LEAVES leaves
+    grid = F.broadcast(cells(members, HELD_ROWS, "rows").join(cells(asked, CELL_ROWS, "columns"), "bunch"))
     part = lambda n: F.pmod(F.xxhash64("pid"), F.col(n)).cast("int")
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    keys = ["leaf", "row", "column"]
-    held = members.join(grid, "leaf").withColumn("row", part("rows")).withColumn("column", span("columns")).drop("rows", "columns")
-    asking = asked.join(grid, "leaf").withColumn("column", part("columns")).withColumn("row", span("rows")).drop("rows", "columns")
+    keys = ["bunch", "row", "column"]
+    held = members.join(points.select("pid", "vec", "ids"), "pid")
+    held = held.join(grid, "bunch").withColumn("row", part("rows")).withColumn("column", span("columns")).drop("rows", "columns")
+    asking = asked.join(points.where("is_query").select("pid", "vec"), "pid")
+    asking = asking.join(grid, "bunch").withColumn("column", part("columns")).withColumn("row", span("rows")).drop("rows", "columns")
 
     def across(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if q.empty or m.empty:
             return pd.DataFrame({"pid": [], "nid": [], "dist": []})
-        found, near, dist = best(q["pid"].to_numpy(), matrix(q["vec"]), m["pid"].to_numpy(), matrix(m["vec"]), k)
-        out = pd.DataFrame({"pid": found, "nid": near, "dist": dist})
+        qid, mid, queries, at = q["pid"].to_numpy(), m["pid"].to_numpy(), matrix(q["vec"]), matrix(m["vec"])
+        asker, leaf = np.repeat(np.arange(len(q)), q["leaves"].str.len()), np.concatenate(q["leaves"].to_list())
+        askers = pd.Series(asker).groupby(leaf).indices
+        found = []
+        for name, own in m.groupby("leaf").indices.items():
+            if name in askers:
+                who = asker[askers[name]]
+                found.append(best(qid[who], queries[who], mid[own], at[own], k))
+        if not found:
+            return pd.DataFrame({"pid": [], "nid": [], "dist": []})
+        out = _first(pd.DataFrame(dict(zip(["pid", "nid", "dist"], map(np.concatenate, zip(*found))))), k)
         copied = m[m["ids"].str.len() > 1]
         if len(copied):
             ids = dict(zip(copied["pid"], copied["ids"]))
             out["nid"] = [list(ids.get(i, (i,)))[:k] for i in out["nid"]]
-            out = out.explode("nid")
+            out = _first(out.explode("nid"), k)
         return out
 
     held = _own(held)
@@ -164,6 +198,11 @@ def _searched(members: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     return found.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("dist", "nid"))).alias("near"))
 
 
+def _first(near: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The ``k`` nearest of each pid."""
+    return near.sort_values(["pid", "dist", "nid"]).groupby("pid").head(k)
+
+
 def _of_rows(rows: DataFrame, points: DataFrame, near: DataFrame, k: int) -> DataFrame:
     """Neighbours of the asking rows: first the equal rows of their point, then its neighbours."""
     whole = points.where("is_query").join(near, "pid", "left")

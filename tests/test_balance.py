@@ -125,6 +125,25 @@ def test_leaves_stay_small(spark):
     assert sum(sizes) == 8000 and len(sizes) > 100 and max(sizes) < 8 * 64
 
 
+def test_a_row_travels_once_to_the_leaves_of_a_bunch(spark):
+    """Asking rows are sent by bunch, with the nearest of all leaves: not one copy of the vector per leaf."""
+    x = np.random.default_rng(6).random((6000, 3))
+    points = spark.createDataFrame([(i, 0, v.tolist(), i % 20 == 0, [i]) for i, v in enumerate(x)], "pid bigint, cls int, vec array<double>, is_query boolean, ids array<bigint>")
+    members, asked = neighbor_tree._dealt(points, {0: 6000}, {0: 94}, 40, 42)
+    bunch_of = {r.leaf: r.bunch for r in members.select("leaf", "bunch").distinct().collect()}
+    seen = {}
+    for r in asked.collect():
+        assert r.bunch not in seen.setdefault(r.pid, {}) and {bunch_of[i] for i in r.leaves} == {r.bunch}
+        seen[r.pid][r.bunch] = r.leaves
+    assert seen.keys() == set(range(0, 6000, 20))
+    assert sum(map(len, seen.values())) <= 300 * 20
+    for i, by_bunch in seen.items():
+        leaves = [j for some in by_bunch.values() for j in some]
+        assert len(set(leaves)) == len(leaves) == 40
+        far = np.linalg.norm(x[list(bunch_of.keys() - set(leaves))] - x[i], axis=1)
+        assert np.linalg.norm(x[leaves] - x[i], axis=1).max() <= np.sort(far)[0] + 1e-9
+
+
 def test_smote_can_search_exactly(spark):
     rng = random.Random(5)
     rows = [(i, "a" if i % 5 else "b", rng.random(), rng.random()) for i in range(200)]
