@@ -52,8 +52,9 @@ from .batches import bound_batches, slices
 SHARD_BYTES = 32 << 20  # of text in a file, about: what a task sorts
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 1 << 14, 1 << 16
 LEVEL = 3
-MOST_WORDS = 100_000  # of a generation that a worker remembers, of at most LONGEST_WORD letters
+MOST_WORDS = 100_000  # beyond which a generation that a worker remembers ends with the batch, of at most LONGEST_WORD letters
 LONGEST_WORD = 64
+NEW_WORDS = 1 << 15  # asked of the library and kept at a time
 TOGETHER, CALL = 200, 16  # words in one text for the library, texts in a call
 WORDS = 1 << 17  # put together at a time
 BATCH_TEXT = 10_000_000  # encoded at a time: a word that repeats in it is looked up once
@@ -107,7 +108,9 @@ class Encoder:
         distinct = words.dictionary_encode()
         number = np.array(distinct.indices)
         number[first] = len(distinct.dictionary) + np.arange(len(first))
-        data = [*self._of_words(distinct.dictionary.to_pylist()), *self._by_library(heads)]
+        listed = distinct.dictionary.to_pylist()
+        del split, words, distinct  # as large as the texts, each
+        data = [*self._of_words(listed), *self._by_library(heads)]
         ids, size = np.frombuffer(b"".join(data), self.kind), int(self.kind[-1])
         length = np.fromiter(map(len, data), np.int32, len(data)) // size
         start = np.cumsum(length, dtype=np.int32) - length
@@ -134,18 +137,20 @@ class Encoder:
         one, from which a word that occurs again moves to the young one.
         """
         found = list(map(self.known.get, words))
-        new = []
-        for i in [i for i, ids in enumerate(found) if ids is None]:
-            found[i] = ids = self.old.get(words[i])
-            if ids is None:
-                new.append(i)
-            else:
-                self.known[words[i]] = ids
-        fresh = self._words([words[i] for i in new])
-        for i in new:
-            found[i] = fresh[words[i]]
-            if len(words[i]) <= LONGEST_WORD:
-                self.known[words[i]] = found[i]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for a in range(0, len(missing), NEW_WORDS):
+            new = []
+            for i in missing[a : a + NEW_WORDS]:
+                found[i] = ids = self.old.pop(words[i], None)
+                if ids is None:
+                    new.append(i)
+                else:
+                    self.known[words[i]] = ids
+            fresh = self._words([words[i] for i in new])
+            for i in new:
+                found[i] = fresh[words[i]]
+                if len(words[i]) <= LONGEST_WORD:
+                    self.known[words[i]] = found[i]
         if len(self.known) > MOST_WORDS:
             self.known, self.old = {}, self.known
         return found
@@ -167,7 +172,7 @@ class Encoder:
         return found
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _by_library(self, texts: list[str]) -> list[bytes]:
         return [ids.astype(self.kind).tobytes() for ids in self._ids(texts)]
@@ -224,10 +229,17 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(part)
             size += part.nbytes
             if size >= BATCH_TEXT:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, size = [], 0
+                held, size = pa.Table.from_batches(held).combine_chunks().to_batches(), 0
+                yield held.pop()
     if size:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held = pa.Table.from_batches(held).combine_chunks().to_batches()
+        yield held.pop()
+
+
+def _release() -> None:
+    """Memory that a worker has free goes back to the system, for the executor's other workers."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> None:
@@ -253,7 +265,10 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, doc_
             lengths.append(sizes)
             counts.append(np.array([len(b) // width + 1 for b in data], np.int64))
             at += int(sizes.sum()) + len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["value"])
+            out = pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["value"])
+            del part, data, frames
+            _release()
+            yield out
         if known:
             n_ids = sum(int(c.sum()) for c in counts)
             index = zstandard.ZstdCompressor().compress(b"".join(np.concatenate(c).tobytes() for c in (ids, offsets, lengths, counts, known)))

@@ -42,6 +42,27 @@ def test_encoder_equals_library(path):
     assert encoder.encode(pa.array(texts[::-1])) == expected[::-1]  # words are known now
 
 
+def test_the_library_is_asked_without_copies_of_the_texts(monkeypatch):
+    """What is cut from the texts is given up first, and a batch that goes on is not held behind it."""
+    texts = pa.array([" ".join(f"w{i * 1000 + j}" for j in range(1000)) for i in range(300)])
+    encoder = id_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    ask, seen, before = id_files.Encoder._words, [], pa.total_allocated_bytes()
+
+    def asked(self, words):
+        seen.append((len(words), pa.total_allocated_bytes() - before))
+        return ask(self, words)
+
+    monkeypatch.setattr(id_files.Encoder, "_words", asked)
+    found = encoder.encode(texts)
+    assert found[7] == np.array(encoder.tokenizer.encode(texts[7].as_py()).ids, encoder.kind).tobytes()
+    assert max(n for n, _ in seen) <= id_files.NEW_WORDS and max(held for _, held in seen) < texts.nbytes
+    monkeypatch.setattr(id_files, "BATCH_TEXT", 100_000)
+    held = pa.total_allocated_bytes()
+    batches = (pa.RecordBatch.from_arrays([pa.array([i]), pa.array(["x" * 200_000])], ["doc_id", "text"]) for i in range(3))
+    for part in id_files._together(batches):
+        assert pa.total_allocated_bytes() - held < 500_000
+
+
 @pytest.fixture(scope="module")
 def written(spark):
     """Documents in many small files: null, empty, repeated, odd and very long texts, ids null and repeated."""
