@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seriesloom.llm import count_rtree, decontaminate, secret_scan, shingle_join, spotsigs, warc_audit
 from seriesloom.llm.components import components
 from seriesloom.llm.shingle_sets import count_vector, shingle_set
+from seriesloom.sources.staging import stage
 
 VOCABULARY = [f"w{i}" for i in range(400)]
 
@@ -90,6 +91,24 @@ def test_join_of_odd_documents(spark):
     assert shingle_join.deduplicate(docs.limit(0)).collect() == []
 
 
+def test_plans_of_the_join_stay_small(spark, monkeypatch):
+    """Spark's driver keeps the text of each plan: none holds the bits of the filter, none all steps of the search."""
+    sizes, exchanges = {}, {}
+
+    def noted(df, name):
+        text = df._jdf.queryExecution().toString()
+        sizes[name] = max(sizes.get(name, 0), len(text))
+        exchanges[name] = max(exchanges.get(name, 0), df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return stage(df, name)
+
+    monkeypatch.setattr(shingle_join, "CHUNK", 4)
+    monkeypatch.setattr(shingle_join, "stage", noted)
+    monkeypatch.setattr("seriesloom.llm.components.stage", noted)
+    noted(shingle_join.join(frame(spark, copies(7))), "result")
+    assert {"used", "texts", "edges", "members", "labelled"} <= sizes.keys()
+    assert max(sizes.values()) < 40_000 and max(exchanges.values()) < 12, (sizes, exchanges)
+
+
 def test_tree_finds_every_possible_pair():
     r = random.Random(5)
     sets = []
