@@ -91,7 +91,8 @@ def test_join_of_odd_documents(spark):
     assert shingle_join.deduplicate(docs.limit(0)).collect() == []
 
 
-def test_plans_of_the_join_stay_small(spark, monkeypatch):
+@pytest.mark.parametrize("query", [shingle_join.join, shingle_join.deduplicate])
+def test_plans_of_the_join_stay_small(spark, monkeypatch, query):
     """Spark's driver keeps the text of each plan: none holds the bits of the filter, none all steps of the search."""
     sizes, exchanges = {}, {}
 
@@ -104,7 +105,7 @@ def test_plans_of_the_join_stay_small(spark, monkeypatch):
     monkeypatch.setattr(shingle_join, "CHUNK", 4)
     monkeypatch.setattr(shingle_join, "stage", noted)
     monkeypatch.setattr("seriesloom.llm.components.stage", noted)
-    noted(shingle_join.join(frame(spark, copies(7))), "result")
+    noted(query(frame(spark, copies(7))), "result")
     assert {"used", "texts", "edges", "members", "labelled"} <= sizes.keys()
     assert max(sizes.values()) < 40_000 and max(exchanges.values()) < 12, (sizes, exchanges)
 
